@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from codevane.llm import wordhash
+
 #: Entries of a vector that travel as one row.
 PIECE = 512
 
@@ -81,3 +83,62 @@ def summed(df: DataFrame, vector: Callable[[Iterator[pa.RecordBatch]], np.ndarra
         x = np.frombuffer(v.as_buffer(), np.int64)
         sums[k * PIECE : k * PIECE + len(x)] = x
     return sums[:width]
+
+
+#: A filter's bits for each key, and the bound on its size: 2**28 bits are 32 MB.
+KEY_BITS, MOST_BITS = 16, 1 << 28
+
+
+class Filter:
+    """A Bloom filter of 64-bit keys with two hashes."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        a = wordhash.mix(keys.astype(np.uint64))
+        return (a & np.uint64(width - 1)).astype(np.int64), (wordhash.mix(a + np.uint64(1)) & np.uint64(width - 1)).astype(np.int64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        width, out = 8 * len(self.bits), np.ones(len(keys), bool)
+        for p in self.places(keys, width):
+            out &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def filter_of(df: DataFrame, column: str) -> Filter:
+    """A filter of all keys of a column: about one key in 200 more passes it while keys fit its bound.
+
+    Beyond the bound more pass, which costs time and loses nothing.  Bits are
+    shuffled by their place, so a task makes its own part of the filter only.
+    """
+    n = df.count()
+    width = min(MOST_BITS, max(1 << 16, 1 << (KEY_BITS * n).bit_length()))
+    piece = 1 << 15
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.concatenate(Filter.places(b.column(0).to_numpy(), width))
+            yield pa.RecordBatch.from_arrays([pa.array((p // piece).astype(np.int32)), pa.array((p % piece).astype(np.int32))], names=["piece", "at"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: dict[int, np.ndarray] = {}
+        for b in batches:
+            pieces, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            order = np.argsort(pieces, kind="stable")
+            ends = np.flatnonzero(np.diff(pieces[order], append=-1))
+            start = 0
+            for e in ends:
+                k = int(pieces[order[e]])
+                marks.setdefault(k, np.zeros(piece, np.uint8))[at[order[start : e + 1]]] = 1
+                start = e + 1
+        for k, v in marks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["piece", "counts"])
+
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), width // piece)
+    rows = df.select(column).mapInArrow(places, "piece int, at int").repartition(parts, "piece").mapInArrow(part, "piece int, counts binary").toArrow()
+    bits = np.zeros(width // 8, np.uint8)
+    for k, v in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+        bits[k * piece // 8 : (k + 1) * piece // 8] = np.frombuffer(v.as_buffer(), np.uint8)
+    return Filter(bits)
