@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codevane.llm import store
+
 P = "__mix_"
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -132,6 +134,8 @@ def plan(df: DataFrame, shards: int = 16, seed: int = 29, source: str = "source"
     hashed = [F.col(f"`{k}`") for k in keys]
     n = F.col(f"`{words}`") if words else size(F.col("text"))
     df = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source}`").alias(P + "source"), n.alias(P + "size"), F.xxhash64(F.lit(seed), *hashed).alias(P + "h"), F.xxhash64(*hashed, F.lit(~seed)).alias(P + "t"))
+    # read several times from here on, so words are counted once and kept
+    df = store.written(df)
     sizes = df.groupBy(F.col(P + "source").alias("source")).agg(F.sum(P + "size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     per = [r.asDict() for r in sizes.collect()]
     cells = max(1, -(-sum(r["rows"] for r in per) // CELL_ROWS))
