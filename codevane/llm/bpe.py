@@ -20,12 +20,14 @@ table without rows gives none; columns not named pass through ``encode``.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -54,17 +56,21 @@ def byte_alphabet() -> list[str]:
     return [out[b] if b in out else chr(next(spare)) for b in range(256)]
 
 
+#: A merge's value is its rank and its product in one number; its key is the pair of ids.
+WIDTH = 20
+NEVER = 1 << 60
+
+
 @dataclass
 class Vocabulary:
-    """A vocabulary file of the word-end kind: ranks of merges, ids and the way to pieces."""
+    """A vocabulary file of the word-end kind: merges of ids, and the way from text to pieces."""
 
-    ids: dict[str, int]
-    ranks: dict[tuple[str, str], int]
+    merges: dict[int, int]
+    inner: list[int]
+    last: list[int]
     specials: dict[str, int]
-    end: str
     pieces: regex.Pattern
-    tokens: list[str] = field(default_factory=list)
-    alphabet: list[str] = field(default_factory=byte_alphabet)
+    tokens: list[str]
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -76,59 +82,64 @@ class Vocabulary:
         if model["type"] != "BPE" or model["unk_token"] or kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("not a vocabulary of the word-end kind")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        ids = model["vocab"]
+        ids, end = model["vocab"], model["end_of_word_suffix"]
         tokens = [""] * (1 + max([*ids.values(), *specials.values()]))
         for t, i in chain(ids.items(), specials.items()):
             tokens[i] = t
-        return cls(ids, {tuple(m): i for i, m in enumerate(model["merges"])}, specials, model["end_of_word_suffix"], regex.compile(pattern, regex.V0), tokens)
+        merges = {ids[x] << WIDTH | ids[y]: rank << WIDTH | ids[x + y] for rank, (x, y) in enumerate(model["merges"])}
+        letters = byte_alphabet()
+        return cls(merges, [ids[c] for c in letters], [ids[c + end] for c in letters], specials, regex.compile(pattern, regex.V0), tokens)
 
     def merge(self, piece: str) -> list[int]:
         """The ids of one piece: the leftmost pair of lowest rank is joined until none is left."""
         raw = piece.encode("utf-8")
         if not raw:
             return []
-        parts = [self.alphabet[b] for b in raw]
-        parts[-1] += self.end
+        inner, get = self.inner, self.merges.get
+        parts = [inner[b] for b in raw]
+        parts[-1] = self.last[raw[-1]]
         if len(parts) > 400:
             return self._merge_long(parts)
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        pairs = [get(a << WIDTH | b, NEVER) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts if p in self.ids]
-
-    def _merge_long(self, parts: list[str]) -> list[int]:
+            i = pairs.index(best)
+            parts[i] = best & ((1 << WIDTH) - 1)
+            del parts[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] << WIDTH | parts[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] << WIDTH | parts[i + 1], NEVER)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
         """As ``merge``, with a heap of pairs, for pieces of any length."""
-        import heapq
-
-        n = len(parts)
+        n, get = len(parts), self.merges.get
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(x, i) for i in range(n - 1) if (x := get(parts[i] << WIDTH | parts[i + 1])) is not None]
         heapq.heapify(heap)
         gone = bytearray(n)
         while heap:
-            r, i = heapq.heappop(heap)
-            j = right[i] if not gone[i] else -1
-            if j < 0 or self.ranks.get((parts[i], parts[j])) != r:
+            x, i = heapq.heappop(heap)
+            j = -1 if gone[i] else right[i]
+            if j < 0 or get(parts[i] << WIDTH | parts[j]) != x:
                 continue
-            parts[i] += parts[j]
+            parts[i] = x & ((1 << WIDTH) - 1)
             gone[j] = 1
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             for a, b in ((left[i], i), (i, right[i])):
-                if a >= 0 and b >= 0 and (x := self.ranks.get((parts[a], parts[b]))) is not None:
+                if a >= 0 and b >= 0 and (x := get(parts[a] << WIDTH | parts[b])) is not None:
                     heapq.heappush(heap, (x, a))
-        return [self.ids[p] for p, g in zip(parts, gone, strict=True) if not g and p in self.ids]
+        return [p for p, g in zip(parts, gone, strict=True) if not g]
 
     def split(self, chunk: bytes) -> list[str | int]:
         """The pieces of a chunk without ASCII white space, in order; a special token is its id."""
+        if chunk.isalpha():
+            return [chunk.lower().decode()]
         text = chunk.decode("utf-8", "replace")
         spots: list[str | int] = [text]
         if "<|" in text:
@@ -307,36 +318,44 @@ def compile_lexicon(words: list[bytes], vocabulary: Vocabulary) -> bytes:
 
 
 class Encoder:
-    """Encodes batches of texts; made once in each worker."""
+    """Encodes batches of texts; made once in each worker.
+
+    ``known`` numbers the chunks seen lately; the ids of chunk i are
+    ``flat[first[i]:first[i + 1]]``.
+    """
 
     def __init__(self, image: bytes, vocabulary: Vocabulary):
         self.machine, self.vocabulary = mapped(image), vocabulary
-        self.known: dict[bytes, int] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.lists: list[np.ndarray] = []
+        self._forget()
 
-    def _unseen(self, chunk: bytes) -> list[int]:
-        out: list[int] = []
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.first = array("i"), array("q", [0])
+
+    def _unseen(self, chunk: bytes) -> Iterator[int]:
         for p in self.vocabulary.split(chunk):
             if isinstance(p, int):
-                out.append(p)
+                yield p
             else:
                 ids = self.pieces.get(p)
                 if ids is None:
                     ids = self.vocabulary.merge(p)
                     if len(p) <= LEXICON_BYTES and len(self.pieces) < MEMORY:
                         self.pieces[p] = ids
-                out.extend(ids)
-        return out
+                yield from ids
 
     def _learn(self, chunks: list[bytes]) -> None:
-        ranks = self.machine.ranks([folded(c) for c in chunks])
-        for c, r in zip(chunks, ranks, strict=True):
-            self.known[c] = len(self.lists)
+        machine, flat = self.machine, self.flat
+        ranks = machine.ranks([folded(c) for c in chunks])
+        lo, hi = machine.offsets[ranks].tolist() if len(machine.offsets) > 1 else [], machine.offsets[ranks + 1].tolist() if len(machine.offsets) > 1 else []
+        for i, (c, r) in enumerate(zip(chunks, ranks.tolist(), strict=True)):
+            self.known[c] = len(self.first) - 1
             if r >= 0:
-                self.lists.append(self.machine.ids[self.machine.offsets[r] : self.machine.offsets[r + 1]])
+                flat.frombytes(machine.ids[lo[i] : hi[i]].tobytes())
             else:
-                self.lists.append(np.array(self._unseen(c), np.int32))
+                flat.extend(self._unseen(c))
+            self.first.append(len(flat))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -346,19 +365,17 @@ class Encoder:
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + 4 * wordhash.BLOCK, "right")) - 1)
             chunks = [data[a:b].tobytes().split() for a, b in zip(off[lo:hi], off[lo + 1 : hi + 1], strict=True)]
             if len(self.known) > MEMORY:
-                self.known, self.lists = {}, []
-            new = set(chain.from_iterable(chunks)).difference(self.known)
-            self._learn(list(new))
-            width = np.array([len(x) for x in self.lists], np.int64)
-            flat = np.concatenate(self.lists) if self.lists else np.zeros(0, np.int32)
-            first = np.concatenate([[0], np.cumsum(width)])
+                self._forget()
+            self._learn(list(set(chain.from_iterable(chunks)).difference(self.known)))
+            flat, first = np.array(self.flat, np.int32), np.array(self.first, np.int64)
             get = self.known.__getitem__
             for c in chunks:
                 i = np.fromiter(map(get, c), np.int64, len(c))
-                w = width[i]
+                start = first[i]
+                w = first[i + 1] - start
                 ends = np.cumsum(w)
                 total = int(ends[-1]) if len(ends) else 0
-                yield flat[np.repeat(first[i] - (ends - w), w) + np.arange(total)]
+                yield flat[np.repeat(start - (ends - w), w) + np.arange(total)]
             lo = hi
 
 
