@@ -105,7 +105,7 @@ def fit(model: Model, triplets: DataFrame) -> Model:
     for epoch in range(s.epochs):
         held = spark.sparkContext.broadcast(model)
 
-        def run(key: tuple, table: pa.Table, held=held) -> pa.Table:
+        def run(table: pa.Table) -> pa.Table:
             m = held.value
             table = table.sort_by("qid").combine_chunks()
             q, p = (matrix(table.column(k).combine_chunks()) for k in ("q", "p"))
