@@ -39,6 +39,8 @@ from codevane.llm import store, wordhash
 from codevane.llm.components import components
 
 SKETCH_BITS = 20
+#: Bits of an n-gram's hash in prefixes and lists, where a chance meeting only makes a candidate.
+TOKEN_BITS = 40
 
 
 @dataclass(frozen=True)
@@ -57,20 +59,17 @@ class Rule:
         """The least overlap of linked sets of sizes a and b."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
-    def sets(self, texts: pa.Array, wanted: np.ndarray | None = None) -> Iterator[np.ndarray]:
-        """The sorted set of n-gram hashes of each text; of all, or of those wanted."""
-        k, i = self.words, 0
+    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The sorted set of n-gram hashes of each text."""
+        k = self.words
         for b in wordhash.blocks(texts, lower=True):
             h = wordhash.runs(b.hash, k)
             for x, y in zip(b.at[:-1].tolist(), b.at[1:].tolist(), strict=True):
-                if wanted is not None and not wanted[i]:
-                    yield np.zeros(0, np.uint64)
-                elif y - x >= k:
+                if y - x >= k:
                     s = np.sort(h[x : y - k + 1])
                     yield s[np.concatenate([[True], s[1:] != s[:-1]])]
                 else:
                     yield wordhash.runs(b.hash[x:y], y - x) if y > x else np.zeros(0, np.uint64)
-                i += 1
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -113,7 +112,7 @@ def _prefixes(docs: DataFrame, rule: Rule) -> DataFrame:
                 s1.append(int(s.sum(dtype=np.uint64)))
                 s2.append(int(wordhash.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
                 order = np.argsort(counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)], kind="stable")
-                prefix.append(s[order[: rule.prefix(len(s))]] if len(s) else s)
+                prefix.append(s[order[: rule.prefix(len(s))]] >> np.uint64(64 - TOKEN_BITS) if len(s) else s)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32))
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _signed(s1), _signed(s2), pa.ListArray.from_arrays(offsets, _signed(flat))], names=["doc_id", "n", "s1", "s2", "prefix"])
@@ -222,11 +221,15 @@ def _within_reach(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
 
     Of the two prefixes, take the one whose last n-gram is earlier in order.
     What its set has in common with the other is in both prefixes, or beyond
-    that prefix; whichever it is, the larger remainder is a bound.
+    that prefix; whichever it is, the larger remainder is a bound.  n-grams
+    that meet in a token only raise it.
     """
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    classes = store.passing(classes.select("node", "n", "prefix"), "node", ids, "id")
     side = {x: classes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("prefix").alias("p" + x)) for x in "ab"}
     both = pairs.join(side["a"], "a").join(side["b"], "b")
-    common = F.size(F.array_intersect("pa", "pb"))
+    # two n-grams of one set that meet in a token count as one there, hence are added again
+    common = F.size(F.array_intersect("pa", "pb")) + F.size("pa") - F.size(F.array_distinct("pa"))
     spare_a, spare_b = F.col("na") - F.size("pa"), F.col("nb") - F.size("pb")
     most = common + F.greatest(spare_a, spare_b)
     need = F.ceil(F.lit(rule.num) * (F.col("na") + F.col("nb")) / F.lit(rule.num + rule.den))
@@ -236,19 +239,13 @@ def _within_reach(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
 def _linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs that are linked, by their whole sets."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = docs.sparkSession.sparkContext.broadcast(store.filter_of(ids, "id").bits)
+    rows = store.passing(_rows(docs).where("doc_id is not null"), "doc_id", ids, "id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = store.Filter(held.value)
         for batch in batches:
-            own, keep = batch.column(0).to_numpy(), []
-            wanted = known.has(own)
-            batch = batch.filter(pa.array(wanted))
-            keep = [s.tobytes() for s in rule.sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keep, pa.binary())], names=["id", "set"])
-
-    sets = _rows(docs).where(F.col("doc_id").isNotNull()).mapInArrow(fetch, "id long, set binary")
-    sets = store.written(sets.join(ids, "id", "left_semi"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in rule.sets(batch.column(1))], pa.binary())], names=["id", "set"])
+
+    sets = store.written(rows.mapInArrow(fetch, "id long, set binary"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +258,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 ok[i] = c > 0 and rule.den * c >= rule.num * (len(x) + len(y) - c)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    return store.written(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"))
+    links = store.written(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"))
+    store.drop(sets)
+    return links
 
 
 def join(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -270,13 +269,13 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     known = rows.where("doc_id is not null and n > 0")
     classes = store.written(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")))
     same = ["n", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit(1), "prefix").alias("p2")]
-    groups = classes.select("node", "prefix", *same).groupBy("n", "p1", "p2").agg(F.min("node").alias("id"), F.first("prefix").alias("prefix"))
+    groups = store.written(classes.select("node", "prefix", *same).groupBy("n", "p1", "p2").agg(F.min("node").alias("id"), F.first("prefix").alias("prefix")))
     postings = groups.select("n", "id", F.posexplode("prefix").alias("pos", "token"))
     shared = store.written(_shared(postings))
     members = classes.select("node", *same).join(groups.select("n", "p1", "p2", "id"), ["n", "p1", "p2"]).select("id", "node")
     inner = members.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     stars = store.written(_stars(shared, rule).unionByName(inner).distinct())
-    links = _linked(stars, docs, rule)
+    links = _linked(store.written(_within_reach(stars, classes, rule)), docs, rule)
     found = components(links)
     # lists again, with every member and its component so far
     spread = shared.join(members.withColumnRenamed("id", "gid"), F.col("id") == F.col("gid")).select("token", "n", F.col("node").alias("id"), "pos")
