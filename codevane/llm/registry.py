@@ -69,4 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_topk": topk.SQL,
+    "op3_jaccard": similarity.SQL,
+    "op9_substrings": substrings.SQL,
 }

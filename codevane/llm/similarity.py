@@ -293,3 +293,21 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return join(docs, Rule(3, 90, 100))
+
+
+SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) >= 3 then [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]
+                                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g
+  from d
+), n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as x, doc_id as y from d union select r.x, e.b from r join e on r.y = e.a)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, m.component_id
+from d left join n on n.doc_id = d.doc_id join (select x, min(y) as component_id from r group by x) m on m.x = d.doc_id
+"""

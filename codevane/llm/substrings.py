@@ -216,3 +216,16 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return cleaned(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+v as (select doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as p from d)),
+f as (select k, min(doc_id) as first from v group by k),
+gone as (select distinct doc_id, unnest(range(p, p + 50)) as i from v join f using (k) where first < doc_id),
+each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+kept as (select doc_id, string_agg(word, ' ' order by i) as t from each anti join gone using (doc_id, i) group by doc_id),
+n as (select doc_id, count(*) as n from gone group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n.n, 0) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)
+"""
