@@ -179,3 +179,35 @@ def judge(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD) -> D
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(docs, fit(docs, labels))
+
+
+#: The same rules in SQL, for label tables of at most TRUSTED_ROWS good rows and ids that do not repeat.
+SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as p from d)),
+rep as (select doc_id, g from win group by all having count(*) > 1),
+cov as (select doc_id, count(distinct i) as n from (select doc_id, unnest(range(p, p + 3)) as i from win semi join rep using (doc_id, g)) group by doc_id),
+m as (
+  select doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+         [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as lines
+  from d
+), h as (select doc_id, hex(encode(t)) as h from d),
+gram as (
+  select doc_id, ((cast('0x' || substr(h, cast(2 * i + 1 as bigint), 6) as bigint) * 2654435761) % 4294967296) >> 16 as g
+  from (select doc_id, h, unnest(range(0, length(h) // 2 - 2)) as i from h)
+), good as (select distinct doc_id from labels where quality = 1 and coalesce(toxic, 0) = 0),
+cnt as (select g, cast(count(*) as double) as raw, cast(count(good.doc_id) as double) as own from gram left join good on good.doc_id = gram.doc_id group by g),
+share as (select g, own, (raw + 0.01 * sum(raw) over () / 65536) / (sum(raw) over () * 1.01::double) as prior, sum(own) over () as total from cnt),
+ratio as (select g, cast(round(10000 * ln((own + 0.01 * total * prior) / (total * 1.01::double) / prior)) as bigint) as r from share),
+s as (select doc_id, cast(sum(r) as double) / count(*) / 10000 as score from gram join ratio using (g) group by doc_id),
+f as (
+  select m.doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(cov.n, 0) as n_repeat_words, coalesce(s.score, 0) as score
+  from m left join cov using (doc_id) left join s using (doc_id)
+)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+       cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+       n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and score >= -0.5 as kept, score
+from f
+"""
