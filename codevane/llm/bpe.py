@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import normalizers
 
-from codevane.llm import wordhash
+from codevane.llm import store, wordhash
 
 #: Words compiled into the automaton: the most frequent chunks of the corpus.
 LEXICON_WORDS = 1 << 16
 #: A longer chunk is never compiled.
 LEXICON_BYTES = 64
-#: Distinct chunks a worker remembers between batches.
-MEMORY = 1 << 18
+#: Distinct chunks and pieces a worker remembers between batches, and the bytes of its chunks.
+MEMORY, MEMORY_BYTES = 1 << 18, 1 << 25
 
 
 def byte_alphabet() -> list[str]:
@@ -287,12 +287,12 @@ def frequent(docs: DataFrame, text: str = "text", words: int = LEXICON_WORDS) ->
                         seen.update(data[a:b].tobytes().split())
                 else:
                     seen.update(part.tobytes().split())
-                if len(seen) > 4 * MEMORY:
+                if len(seen) > MEMORY:
                     yield out()
                     seen.clear()
         yield out()
 
-    counts = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = docs.select(text).mapInArrow(store.frugal(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     return [bytes(w) for w in counts.orderBy(F.desc("n"), "word").limit(words).select("word").toArrow().column(0).to_pylist()]
 
 
@@ -326,35 +326,41 @@ class Encoder:
 
     def __init__(self, image: bytes, vocabulary: Vocabulary):
         self.machine, self.vocabulary = mapped(image), vocabulary
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat, self.first = array("i"), array("q", [0])
+        self.flat, self.first, self.bytes = array("i"), array("q", [0]), 0
 
-    def _unseen(self, chunk: bytes) -> Iterator[int]:
+    def _unseen(self, chunk: bytes) -> bytes:
+        """The ids of a chunk the machine lacks, as bytes of an int array."""
+        out = []
         for p in self.vocabulary.split(chunk):
             if isinstance(p, int):
-                yield p
-            else:
-                ids = self.pieces.get(p)
-                if ids is None:
-                    ids = self.vocabulary.merge(p)
-                    if len(p) <= LEXICON_BYTES and len(self.pieces) < MEMORY:
-                        self.pieces[p] = ids
-                yield from ids
+                out.append(array("i", [p]).tobytes())
+                continue
+            ids = self.pieces.get(p)
+            if ids is None:
+                ids = array("i", self.vocabulary.merge(p)).tobytes()
+                if len(self.pieces) >= MEMORY:
+                    self.pieces.clear()
+                if len(p) <= LEXICON_BYTES:
+                    self.pieces[p] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def _learn(self, chunks: list[bytes]) -> None:
         machine, flat = self.machine, self.flat
         ranks = machine.ranks([folded(c) for c in chunks])
-        lo, hi = machine.offsets[ranks].tolist() if len(machine.offsets) > 1 else [], machine.offsets[ranks + 1].tolist() if len(machine.offsets) > 1 else []
-        for i, (c, r) in enumerate(zip(chunks, ranks.tolist(), strict=True)):
+        bounds = machine.offsets.tolist()
+        for c, r in zip(chunks, ranks.tolist(), strict=True):
             self.known[c] = len(self.first) - 1
+            self.bytes += len(c)
             if r >= 0:
-                flat.frombytes(machine.ids[lo[i] : hi[i]].tobytes())
+                flat.frombytes(machine.ids[bounds[r] : bounds[r + 1]].tobytes())
             else:
-                flat.extend(self._unseen(c))
+                flat.frombytes(self._unseen(c))
             self.first.append(len(flat))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -364,7 +370,7 @@ class Encoder:
         while lo < len(off) - 1:
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + 4 * wordhash.BLOCK, "right")) - 1)
             chunks = [data[a:b].tobytes().split() for a, b in zip(off[lo:hi], off[lo + 1 : hi + 1], strict=True)]
-            if len(self.known) > MEMORY:
+            if len(self.known) > MEMORY or self.bytes > MEMORY_BYTES:
                 self._forget()
             self._learn(list(set(chain.from_iterable(chunks)).difference(self.known)))
             flat, first = np.array(self.flat, np.int32), np.array(self.first, np.int64)
@@ -409,7 +415,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", out: str =
             values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, values)], names=[*names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(store.frugal(run), T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def digest(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -428,4 +434,4 @@ def digest(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 b.append(hashlib.sha256(decode(ids, tokens).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(store.frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codevane.llm import wordhash
+from codevane.llm import store, wordhash
 
 UNKNOWN = "und"
 N = 4
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, training: Column | None
             for code, times in merged(parts):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.astype(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "code", "times"])
 
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, code long, times long").groupBy("lang", "code").agg(F.sum("times").alias("times"))
+    counts = rows.select("text", "lang").mapInArrow(store.frugal(count), "lang string, code long, times long").groupBy("lang", "code").agg(F.sum("times").alias("times"))
     totals = counts.groupBy("lang").agg(F.sum("times").alias("total"))
     kept = counts.join(F.broadcast(totals), "lang").where(F.col("times") >= MIN_SHARE * F.col("total"))
     got = kept.select("lang", "code", (F.col("times") / F.col("total")).alias("share"), "total").toPandas()
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = classify(batch.column(at), held.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(store.frugal(run), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

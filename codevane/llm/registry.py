@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codevane.llm import bpe, language, licenses, mixing, pii, quality, sharding, similarity, substrings, topk
+from codevane.llm import bpe, language, licenses, mixing, pii, quality, sharding, similarity, store, substrings, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    store.bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -70,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_topk": topk.SQL,
     "op3_jaccard": similarity.SQL,
+    "op8_quality": quality.SQL,
     "op9_substrings": substrings.SQL,
 }

@@ -117,7 +117,7 @@ def _prefixes(docs: DataFrame, rule: Rule) -> DataFrame:
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _signed(s1), _signed(s2), pa.ListArray.from_arrays(offsets, _signed(flat))], names=["doc_id", "n", "s1", "s2", "prefix"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return _rows(docs).mapInArrow(store.frugal(run), "doc_id long, n long, s1 long, s2 long, prefix array<long>")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -161,7 +161,7 @@ def _shared(postings: DataFrame) -> DataFrame:
             many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
             yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in cols], names=["token", "n", "id", "pos"])
 
-    return _by_token(postings.select("token", "n", "id", "pos")).mapInArrow(run, "token long, n long, id long, pos int")
+    return _by_token(postings.select("token", "n", "id", "pos")).mapInArrow(store.frugal(run), "token long, n long, id long, pos int")
 
 
 def _passes(rule: Rule, n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def _stars(shared: DataFrame, rule: Rule) -> DataFrame:
             ok = _passes(rule, n, pos, i, j)
             yield _pairs(ids[i[ok]], ids[j[ok]])
 
-    return _by_token(shared).mapInArrow(run, "a long, b long").distinct()
+    return _by_token(shared).mapInArrow(store.frugal(run), "a long, b long").distinct()
 
 
 def _rest(shared: DataFrame, rule: Rule) -> DataFrame:
@@ -213,7 +213,7 @@ def _rest(shared: DataFrame, rule: Rule) -> DataFrame:
             if held:
                 yield _pairs(np.concatenate(found_a), np.concatenate(found_b))
 
-    return _by_token(shared).select("token", "n", "id", "pos", "comp").mapInArrow(run, "a long, b long").distinct()
+    return _by_token(shared).select("token", "n", "id", "pos", "comp").mapInArrow(store.frugal(run), "a long, b long").distinct()
 
 
 def _within_reach(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -245,7 +245,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in rule.sets(batch.column(1))], pa.binary())], names=["id", "set"])
 
-    sets = store.written(rows.mapInArrow(fetch, "id long, set binary"))
+    sets = store.written(rows.mapInArrow(store.frugal(fetch), "id long, set binary"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 ok[i] = c > 0 and rule.den * c >= rule.num * (len(x) + len(y) - c)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    links = store.written(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"))
+    links = store.written(both.select("a", "b", "sa", "sb").mapInArrow(store.frugal(verify), "a long, b long"))
     store.drop(sets)
     return links
 

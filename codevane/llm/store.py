@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,6 +27,33 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, after which its process gives freed memory back to the system.
+
+    Python workers serve many tasks; what their allocators keep for themselves
+    would add up over the stages.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return run
+
+
+#: Texts that go to Python in one batch, where the session has Spark's own default.
+BATCH = "2000"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keeps batches of texts small, so that a worker's memory follows BATCH and not the rows of a file."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and losing executors loses nothing."""
     path = folder(df.sparkSession)
@@ -77,7 +106,7 @@ def summed(df: DataFrame, vector: Callable[[Iterator[pa.RecordBatch]], np.ndarra
 
     spark = df.sparkSession
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-width // PIECE))
-    rows = df.mapInArrow(local, schema).repartition(parts, "piece").mapInArrow(total, schema).toArrow()
+    rows = df.mapInArrow(frugal(local), schema).repartition(parts, "piece").mapInArrow(total, schema).toArrow()
     sums = np.zeros(-(-width // PIECE) * PIECE, np.int64)
     for k, v in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
         x = np.frombuffer(v.as_buffer(), np.int64)
@@ -137,7 +166,7 @@ def filter_of(df: DataFrame, column: str) -> Filter:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["piece", "counts"])
 
     parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), width // piece)
-    rows = df.select(column).mapInArrow(places, "piece int, at int").repartition(parts, "piece").mapInArrow(part, "piece int, counts binary").toArrow()
+    rows = df.select(column).mapInArrow(frugal(places), "piece int, at int").repartition(parts, "piece").mapInArrow(part, "piece int, counts binary").toArrow()
     bits = np.zeros(width // 8, np.uint8)
     for k, v in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
         bits[k * piece // 8 : (k + 1) * piece // 8] = np.frombuffer(v.as_buffer(), np.uint8)
@@ -157,4 +186,4 @@ def passing(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(known.has(b.column(at).to_numpy())))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(frugal(run), df.schema)

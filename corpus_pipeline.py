@@ -20,6 +20,7 @@ LONG, LEAST = 64, 0.2
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Names each document's language; what has no letters, or is long and in no known language, goes."""
+    store.bounded(spark)
     docs = docs.select(*COLUMNS)
     model = language.fit(docs, training=F.lit(True))
     found = language.predict(docs, model)
@@ -30,6 +31,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unite(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the least id stays."""
+    store.bounded(spark)
     docs = docs.select(*COLUMNS)
     found = similarity.join(docs, similarity.Rule(5, 80, 100))
     gone = store.written(found.where("component_id <> doc_id").select("doc_id").distinct())
@@ -50,6 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every row: doc_id, source, n_tokens, ids."""
+    store.bounded(spark)
     done = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return done.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
