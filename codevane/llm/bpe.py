@@ -59,6 +59,8 @@ def byte_alphabet() -> list[str]:
 #: A merge's value is its rank and its product in one number; its key is the pair of ids.
 WIDTH = 20
 NEVER = 1 << 60
+#: After plain letters these are a piece of their own.
+STOPS = (b".", b",", b";", b":", b"!", b"?")
 
 
 @dataclass
@@ -140,6 +142,8 @@ class Vocabulary:
         """The pieces of a chunk without ASCII white space, in order; a special token is its id."""
         if chunk.isalpha():
             return [chunk.lower().decode()]
+        if chunk[-1:] in STOPS and chunk[:-1].isalpha():
+            return [chunk[:-1].lower().decode(), chr(chunk[-1])]
         text = chunk.decode("utf-8", "replace")
         spots: list[str | int] = [text]
         if "<|" in text:
