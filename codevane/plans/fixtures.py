@@ -81,6 +81,7 @@ PARTS = {
     "dense_run": "select qid, pid, score, row_number() over (partition by qid order by score desc, pid) as rank from dense qualify rank <= 1000",
     "w": "select d, code, ((31 * d + 17 * code) % 13 - 6) / 10.0::double as w from (select unnest(range(0, 64)) as d) cross join (select unnest(range(0, 128)) as code)",
     "proj": "select id, code, least(ln(1 + greatest(sum(x * w), 0)), 10) as weight from x join w using (d) group by all",
+    "proj9": "select id, code, round(weight, 9) as weight from proj",
     "rep": "select id, code, weight from (select *, row_number() over (partition by id order by round(weight, 9) desc, code) as r from proj) where r <= if(id % 50 = 0, 16, 64) and weight > 1e-5",
     "terms": "select doc_id as pid, term, cast(count(*) as double) as weight from (select doc_id, unnest(string_split(text, ' ')) as term from documents) where term <> '' group by all",
     "q_terms": "select item_id as qid, term, cast(count(*) as double) as weight from (select item_id, unnest(string_split(text, ' ')) as term from benchmark) where term <> '' group by all",
@@ -91,7 +92,7 @@ PARTS = {
 USES = {
     "cd": ["x"], "cb": ["cd"], "dist": ["cd", "cb"], "codes": ["dist"], "tf": ["codes"], "q_tf": ["tf"], "p_tf": ["tf"],
     "qrels": ["q_ids", "p_ids"], "vq": ["q_tf", "p_tf"], "vq_run": ["vq"], "dense": ["x"], "dense_run": ["dense"],
-    "proj": ["x", "w"], "rep": ["proj"],
+    "proj": ["x", "w"], "proj9": ["proj"], "rep": ["proj"],
 }
 
 

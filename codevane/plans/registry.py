@@ -317,10 +317,10 @@ def q_sparse_search(t: Tables) -> DataFrame:
     return _longs(search.ranked(scores, 100))
 
 
-FLOPS = "select sum(m * m) as f from (select sum(weight) / (select count(*) from embeddings where {0}) as m from proj where {1} group by code)"
+FLOPS = "select sum(m * m) as f from (select sum(weight) / (select count(*) from embeddings where {0}) as m from proj9 where {1} group by code)"
 
 
-@query(sql("select round(f, 6) as flops from (" + FLOPS.format("vec_id % 50 = 0", "id % 50 = 0") + ")", "proj"))
+@query(sql("select round(f, 6) as flops from (" + FLOPS.format("vec_id % 50 = 0", "id % 50 = 0") + ")", "proj9"))
 def q_flops_reg(t: Tables) -> DataFrame:
     q, _ = _sides(_projected(t))
     return sparse.flops(q, t.queries.count()).select(rounded("flops"))
@@ -329,7 +329,7 @@ def q_flops_reg(t: Tables) -> DataFrame:
 CONTRAST = """select avg(l + m - own) as c from (
   select i, ln(sum(exp(s - m))) as l, any_value(m) as m, max(case when i = j then s end) as own from (
     select *, max(s) over (partition by i) as m from (
-      select q.id as i, p.id - 1 as j, sum(q.weight * p.weight) / 0.05 as s from proj q join proj p using (code) where q.id % 50 = 0 and p.id % 50 = 1 group by all)) group by i)"""
+      select q.id as i, p.id - 1 as j, sum(q.weight * p.weight) / 0.05 as s from proj9 q join proj9 p using (code) where q.id % 50 = 0 and p.id % 50 = 1 group by all)) group by i)"""
 
 
 def _block(t: Tables) -> DataFrame:
@@ -337,10 +337,13 @@ def _block(t: Tables) -> DataFrame:
     terms = _projected(t)
     q = terms.where("id % 50 = 0").withColumnRenamed("id", "qid")
     p = terms.where("id % 50 = 1").withColumnRenamed("id", "pid")
-    return search.sparse_scores(q, p).select(F.col("qid").alias("i"), (F.col("pid") - 1).alias("j"), "score")
+    scores = search.sparse_scores(q, p).select(F.col("qid").alias("i"), (F.col("pid") - 1).alias("j"), "score")
+    # pairs without a common output score 0 and count in the loss
+    block = t.queries.select(F.col("qid").alias("i")).crossJoin(t.vectors.where("id % 50 = 1").select((F.col("id") - 1).alias("j")))
+    return block.join(scores, ["i", "j"], "left").select("i", "j", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-@query(sql("select round(c, 5) as loss from (" + CONTRAST + ")", "proj"))
+@query(sql("select round(c, 5) as loss from (" + CONTRAST + ")", "proj9"))
 def q_contrastive(t: Tables) -> DataFrame:
     return sparse.contrastive(_block(t)).select(rounded("loss", 5))
 
@@ -349,7 +352,7 @@ def q_contrastive(t: Tables) -> DataFrame:
     sql(
         "select round(c.c + 0.5 * q.f + 0.5 * p.f + e.e, 4) as total from (" + CONTRAST + ") c, (" + FLOPS.format("vec_id % 50 = 0", "id % 50 = 0") + ") q, (" + FLOPS.format("vec_id % 50 <> 0", "id % 50 <> 0")
         + ") p, (select avg((x - y) * (x - y)) as e from codes join cd using (id, chunk_no) join cb using (code, i)) e",
-        "proj",
+        "proj9",
         "codes",
         "cb",
     )
