@@ -6,6 +6,12 @@ word j votes for the diagonal i - j.  A template that stands in a document
 gives its votes to one diagonal, or, after small edits, to a few close ones;
 close diagonals of a template are merged and their votes counted together.
 
+A placement with enough votes is then verified.  Only votes that stand in the
+same order in document and template count for its score.  Where the text of
+another template would reach the threshold too, the document must have the
+words that tell the two apart; a number stands for any number, as versions
+differ.  Of templates on the same words the one with the best score stays.
+
 The join compares the words of a hit as well as the hash, so votes are exact.
 All steps are DataFrame operations.  The templates are a fixed table of a few
 hundred rows, hence broadcast; votes are summed before they are shuffled.
@@ -59,14 +65,30 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, BREAKS), "")
 
 
+def telling(w: list[str], others: list[list[str]]) -> str | None:
+    """A pattern of what tells a template from those whose text reaches its threshold, for words without blanks; None without such."""
+
+    def runs(x: list[str], n: int) -> set[tuple[str, ...]]:
+        return set(zip(*[x[i:] for i in range(n)], strict=False))
+
+    found = set()
+    for v in others:
+        if len(runs(w, K) & runs(v, K)) >= THRESHOLD * len(runs(w, K)):
+            # words of its own, or else what stands next to each other only here
+            parts = runs(w, 1) - runs(v, 1) or runs(w, 2) - runs(v, 2)
+            found |= {"".join("[0-9]+" if x.isdigit() else x for x in part) for part in parts}
+    return "".join(f"(?=.*{x})" for x in sorted(found)) or None
+
+
 def grams(spark: SparkSession) -> DataFrame:
-    """Every K-gram place of every template: (template, label, base, j, total, hash, a, b, c)."""
+    """Every K-gram place of every template: (template, label, base, own, j, total, hash, a, b, c)."""
     rows = []
     texts = [(label, text, True) for label, text in PHRASES.items()] + [(label, text, False) for label, text in TEMPLATES.items()]
-    for t, (label, text, base) in enumerate(texts):
-        w = "".join(c.lower() if c.isalnum() and c.isascii() else " " for c in text).split()
-        rows += [(t, label, base, j, len(w) - K + 1, *w[j : j + K]) for j in range(len(w) - K + 1)]
-    df = spark.createDataFrame(rows, "template int, label string, base boolean, j int, total int, a string, b string, c string")
+    split = ["".join(c.lower() if c.isalnum() and c.isascii() else " " for c in text).split() for _, text, _ in texts]
+    for t, ((label, _, base), w) in enumerate(zip(texts, split, strict=True)):
+        own = None if base else telling(w, [v for v, (_, _, phrase) in zip(split, texts, strict=True) if v is not w and not phrase])
+        rows += [(t, label, base, own, j, len(w) - K + 1, *w[j : j + K]) for j in range(len(w) - K + 1)]
+    df = spark.createDataFrame(rows, "template int, label string, base boolean, own string, j int, total int, a string, b string, c string")
     return df.withColumn("hash", F.xxhash64("a", "b", "c"))
 
 
@@ -74,7 +96,8 @@ def votes(df: DataFrame) -> DataFrame:
     """One row for each text and diagonal with votes, and one with a null template for each text.
 
     Columns: doc_id, text key, n_words, template, label, base, total, diagonal,
-    votes (the template's places that voted) and rows.
+    votes (the template's places that voted), told (the words that tell the
+    template from others are there) and rows.
     """
     spark = df.sparkSession
     w = P + "w"
@@ -88,15 +111,48 @@ def votes(df: DataFrame) -> DataFrame:
     i = F.col(P + "i")
     same = (F.col(P + "hash") == F.col("hash")) & (F.get(w, i) == F.col("a")) & (F.get(w, i + 1) == F.col("b")) & (F.get(w, i + 2) == F.col("c"))
     hits = runs.join(t, same, "left").where(F.col("template").isNotNull() | F.col(P + "hash").isNull())
-    hits = hits.select("doc_id", P + "key", P + "n", "template", "label", "base", "total", "j", (i - F.col("j")).alias("diagonal"))
-    return hits.groupBy("doc_id", P + "key", P + "n", "template", "label", "base", "total", "diagonal").agg(F.collect_set("j").alias("votes"), F.count(F.lit(1)).alias(P + "rows"))
+    diagonal = i - F.col("j")
+    span = F.array_join(F.slice(w, F.greatest(diagonal, F.lit(0)) + 1, F.col("total") + K - 1), "")
+    told = F.when(F.col("own").isNull(), True).otherwise(F.regexp_like(span, F.col("own")))
+    hits = hits.select("doc_id", P + "key", P + "n", "template", "label", "base", "total", "j", diagonal.alias("diagonal"), told.alias("told"))
+    return hits.groupBy("doc_id", P + "key", P + "n", "template", "label", "base", "total", "diagonal").agg(F.collect_set("j").alias("votes"), F.max("told").alias("told"), F.count(F.lit(1)).alias(P + "rows"))
+
+
+def ordered(pairs: Column, total: Column) -> Column:
+    """The longest row of votes (i, j) that grows in both: how many (n), its first place and its last."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def step(best: Column, p: Column) -> Column:
+        # best: for each template place the longest row that ends there
+        before = F.array_max(F.concat(F.array(none), F.slice(best, 1, p.j)))
+        new = F.struct((before.n + 1).alias("n"), F.when(before.n == 0, p.i).otherwise(before.first).alias("first"), p.i.alias("last"))
+        return F.transform(best, lambda x, at: F.when((at == p.j) & (new.n > x.n), new).otherwise(x))
+
+    # of one document place the later template place goes first, so that a row takes one of them
+    in_order = F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct(p.i.alias("i"), (-p.j).alias("back")))), lambda p: F.struct(p.i.alias("i"), (-p.back).alias("j")))
+    return F.aggregate(in_order, F.array_repeat(none, total), step, F.array_max)
+
+
+def best(spots: Column) -> Column:
+    """Verified spots without those that have half of the shorter span in common with a better one of another template."""
+
+    def beaten(kept: Column, x: Column) -> Column:
+        def over(y: Column) -> Column:
+            shared = F.least(x.end, y.end) - F.greatest(x.start, y.start)
+            return (y.label != x.label) & (y.score > x.score) & (2 * shared >= F.least(x.end - x.start, y.end - y.start))
+
+        return F.exists(kept, over)
+
+    falling = F.transform(F.array_sort(F.transform(spots, lambda x: F.struct((-x.score).alias("key"), x.alias("x")))), lambda s: s.x)
+    return F.aggregate(falling, F.filter(spots, lambda x: F.lit(False)), lambda kept, x: F.when(beaten(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
 
 
 def scan(df: DataFrame) -> DataFrame:
-    """Placements of each text: doc_id, n_words, copies and ``found``, an array of (label, base, start, score).
+    """Placements of each text: doc_id, n_words, copies and ``found``, an array of (label, base, start, end, score).
 
-    ``start`` is the first word's place; ``score`` the share of the template's
-    word runs that the placement has.  Phrases need all of theirs.
+    ``start`` is the first word's place and ``end`` the place after the last;
+    ``score`` the share of the template's word runs that the placement has in
+    order.  Phrases need all of theirs.
     """
     v = votes(df)
     text = ["doc_id", P + "key", P + "n"]
@@ -105,16 +161,19 @@ def scan(df: DataFrame) -> DataFrame:
     fresh = F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(w) <= GAP), 0).otherwise(1)
     fresh = F.when(F.col("base"), 1).otherwise(fresh)
     v = v.withColumn(P + "part", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spot = v.groupBy(*text, "template", "label", "base", "total", P + "part").agg(F.size(F.array_distinct(F.flatten(F.collect_list("votes")))).alias("votes"), F.sum(P + "rows").alias(P + "rows"), F.max(F.struct(F.size("votes").alias("most"), (-F.col("diagonal")).alias("back"))).alias(P + "top"))
+    v = v.withColumn(P + "pairs", F.transform("votes", lambda j: F.struct((F.col("diagonal") + j).alias("i"), j.alias("j"))))
+    spot = v.groupBy(*text, "template", "label", "base", "total", P + "part").agg(F.flatten(F.collect_list(P + "pairs")).alias(P + "pairs"), F.max("told").alias("told"), F.sum(P + "rows").alias(P + "rows"))
     # the rows without a template count the copies of a text
     copies = F.sum(F.when(F.col("template").isNull(), F.col(P + "rows")))
-    one = F.struct("label", "base", "total", (-F.col(P + "top")["back"]).cast("long").alias("start"), "votes")
-    docs = spot.groupBy(*text).agg(copies.alias("copies"), F.collect_list(F.when(F.col("template").isNotNull(), one)).alias(P + "all"))
-
-    def scored(x: Column) -> Column:
-        return F.struct(x.label.alias("label"), x.base.alias("base"), F.greatest(x.start, F.lit(0)).alias("start"), (x.votes / x.total).alias("score"))
-
-    found = F.filter(F.transform(P + "all", scored), lambda x: (x.score >= 1) | (~x.base & (x.score >= THRESHOLD)))
+    voted = F.size(F.array_distinct(F.transform(P + "pairs", lambda p: p.j)))
+    enough = F.when(F.col("base"), voted == F.col("total")).otherwise(F.col("told") & (voted >= THRESHOLD * F.col("total")))
+    spot = spot.withColumn(P + "row", F.when(enough, ordered(F.col(P + "pairs"), F.col("total"))))
+    row = F.col(P + "row")
+    one = F.struct("label", "base", row["first"].cast("long").alias("start"), (row["last"] + K).cast("long").alias("end"), (row["n"] / F.col("total")).alias("score"))
+    docs = spot.groupBy(*text).agg(copies.alias("copies"), F.collect_list(F.when(row.isNotNull(), one)).alias(P + "all"))
+    phrases = F.filter(P + "all", lambda x: x.base)
+    texts = F.filter(P + "all", lambda x: ~x.base & (x.score >= THRESHOLD))
+    found = F.concat(phrases, best(texts))
     return docs.select("doc_id", F.col(P + "n").cast("long").alias("n_words"), "copies", F.array_sort(found).alias("found"))
 
 

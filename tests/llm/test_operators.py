@@ -281,6 +281,28 @@ def test_licenses(spark, docs):
     assert licenses.digest(empty(docs)).count() == 0
 
 
+def test_license_spans_are_verified(spark):
+    cc = "This work is licensed under the Creative Commons {} International License."
+    mit = licenses.TEMPLATES["mit"].split()
+    want = {
+        cc.format("Attribution 4.0"): "cc-by",
+        cc.format("Attribution 3.0"): "cc-by",
+        cc.format("Attribution-NonCommercial 4.0"): "cc-by-nc",
+        cc.format("Attribution-Non-Commercial 4.0"): "cc-by-nc",
+        cc.format("Attribution-ShareAlike 4.0"): "cc-by-sa",
+        cc.format("Attribution-NonCommercial-ShareAlike 4.0"): "cc-by-nc,cc-by-sa",
+        cc.format("Attribution-NoDerivatives 4.0"): "",
+        cc.format("Attribution 4.0") + " Noncommercial use is fine. " + cc.format("Attribution-ShareAlike 4.0"): "cc-by,cc-by-sa",
+        "so " * 30 + licenses.TEMPLATES["isc"] + " " + licenses.TEMPLATES["gpl"]: "gpl,isc",
+        # each part of 5 words votes, but their order is the template's backwards
+        " ".join(" ".join(mit[i : i + 5]) for i in range(45, -1, -5)): "",
+        " ".join([*mit[:20], "indeed", *mit[20:]]): "mit",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.digest(df).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_quality(spark, sf, docs):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
 
