@@ -6,8 +6,9 @@ languages that have it, all found at once.  A text's counts for each language
 are corrected for the filter's false positives; the largest decides, and the
 score is the share of the text's n-grams that this language accounts for.
 
-Training takes at most about ``sample_rows`` labelled rows, chosen by a hash
-of doc_id.  A language keeps the n-grams that make up at least ``MIN_SHARE``
+Training takes about ``sample_rows`` labelled rows, chosen by a hash of doc_id,
+and of a language that has few of these up to ``LANGUAGE_ROWS``: a rare
+language gives all its rows, however large the table is.  A language keeps the n-grams that make up at least ``MIN_SHARE``
 of its n-grams, hence at most 1 / MIN_SHARE of them, and of these only the
 ones not far more common elsewhere.
 
@@ -38,6 +39,8 @@ MIN_SHARE = 2e-5
 #: An n-gram's share in a language must reach this part of its largest share.
 RELATIVE = 0.2
 SAMPLE_ROWS = 20_000
+#: So many rows of each language are learned from, or all it has.
+LANGUAGE_ROWS = 1_000
 POSITIONS = 1 << 19
 HASHES = 3
 
@@ -101,9 +104,12 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, training: Column | None
     """Learns from rows with text and lang, by default those whose id is not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (~held_out(F.col("doc_id")) if training is None else training))
     rows = rows.select("text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("bucket"))
-    n = rows.count()
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    n = sum(sizes.values())
+    shares = {lang: min(1.0, max(sample_rows / n, LANGUAGE_ROWS / own)) for lang, own in sizes.items()}
     if n > sample_rows:
-        rows = rows.where(F.col("bucket") < int((1 << 20) * sample_rows / n))
+        limits = docs.sparkSession.createDataFrame([(lang, max(1, int((1 << 20) * share))) for lang, share in shares.items()], "lang string, upto long")
+        rows = rows.join(F.broadcast(limits), "lang").where(F.col("bucket") < F.col("upto"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -142,7 +148,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, training: Column | None
             table[i // 64, _positions(code, k)] |= np.uint64(1 << (i % 64))
         rates[i] = np.mean((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)) ** HASHES
     weight = got.groupby("lang")["total"].max()
-    return Model(languages, table, rates, int(np.argmax([weight[x] for x in languages])))
+    return Model(languages, table, rates, int(np.argmax([weight[x] / shares[x] for x in languages])))
 
 
 def _has_letter(text: str | None) -> bool:

@@ -19,14 +19,19 @@ LONG, LEAST = 64, 0.2
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Names each document's language; what has no letters, or is long and in no known language, goes."""
+    """Names each document's language; what has no letters, or is long and in no known language, goes.
+
+    A label that the model could not learn is no unknown language: its documents
+    keep it.
+    """
     store.bounded(spark)
     docs = docs.select(*COLUMNS)
     model = language.fit(docs, training=F.lit(True))
     found = language.predict(docs, model)
     strange = (F.length("text") >= LONG) & (F.col("score") < LEAST)
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & ~strange)
-    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    judged = F.col("lang").isNull() | F.col("lang").isin(list(model.languages))
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & ~(judged & strange))
+    return kept.withColumn("lang", F.when(judged, F.col("lang_pred")).otherwise(F.col("lang"))).select(*COLUMNS)
 
 
 def unite(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's stages against plain Python, one by one on each stage's own input."""
 
 from collections import Counter
+from functools import partial
 
 import public_tokenizers
 import pytest
@@ -39,6 +40,25 @@ def test_language_stage(tables):
     assert kept.where(F.col("lang") == language.UNKNOWN).count() == 0
 
 
+RARE = [(10**7 + i, f"Жизнь прекрасна и удивительна каждый день, {i} раз и снова " * 3, "ru", "src0", 1) for i in range(4)]
+
+
+def test_a_rare_language_is_learned(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame(RARE, docs.schema))
+    monkeypatch.setattr(language, "fit", partial(language.fit, sample_rows=2))
+    kept = P.identify(spark, docs, sf).where("doc_id >= 10000000").collect()
+    assert sorted((r.doc_id, r.lang) for r in kept) == [(r[0], "ru") for r in RARE]
+
+
+def test_a_label_that_was_not_learned_stays(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    fit = language.fit
+    monkeypatch.setattr(language, "fit", lambda d, **k: fit(d.where("lang <> 'ru'"), **k))
+    kept = P.identify(spark, docs.unionByName(spark.createDataFrame([*RARE, (1, "12 !!", "ru", "src0", 1)], docs.schema)), sf)
+    assert sorted(r.doc_id for r in kept.where("lang = 'ru'").collect()) == [r[0] for r in RARE]
+
+
 def test_one_of_each_group_stays(tables):
     groups = similarity.join(tables[1], similarity.Rule(5, 80, 100)).where("doc_id is not null").collect()
     assert sorted(r.doc_id for r in tables[2].where("doc_id is not null").collect()) == sorted({r.component_id for r in groups})
