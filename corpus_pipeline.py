@@ -35,14 +35,25 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unite(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the least id stays."""
+    """Of each group of near copies (five words, 0.8) the document with the least id stays.
+
+    Rows that share an id are one document only if they share the text too;
+    rows without an id all stay.
+    """
     store.bounded(spark)
-    docs = docs.select(*COLUMNS)
-    found = similarity.join(docs, similarity.Rule(5, 80, 100))
-    gone = store.written(found.where("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs, rule = docs.select(*COLUMNS), similarity.Rule(5, 80, 100)
     twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept if twice.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    if twice.isEmpty():
+        found = similarity.join(docs, rule)
+        gone = store.written(found.where("component_id <> doc_id").select("doc_id").distinct())
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # an id is no key here: a hash of id and text is
+    rows = docs.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    rows = store.written(rows.select("doc_id", "text", "rest.*", F.xxhash64("doc_id", "text").alias("key")))
+    found = similarity.join(rows.select(F.col("key").alias("doc_id"), "text"), rule).select(F.col("doc_id").alias("key"), "component_id")
+    least = rows.select("doc_id", "key").join(found, "key").groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("least"))
+    kept = rows.join(store.written(least.select("least.key")), "key", "left_semi")
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,14 @@ def test_one_of_each_group_stays(tables):
     assert tables[2].where("doc_id is null").count() == tables[1].where("doc_id is null").count()
 
 
+def test_texts_under_one_id_are_documents(spark):
+    a, b = " ".join(f"red{i}" for i in range(60)), " ".join(f"blue{i}" for i in range(60))
+    rows = [(1, a), (1, b), (1, a), (2, a + " more"), (3, b), (4, "something else"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in P.unite(spark, docs, "").collect())
+    assert kept == Counter([(1, a), (1, b), (4, "something else"), (None, a)])
+
+
 def test_no_personal_data_is_left(tables):
     left = pii.digest(tables[3]).agg(*[F.sum(f"n_{k}").alias(k) for k in ("email", "ip", "card", "phone")]).first()
     assert sum(left) == 0 and tables[3].count() == tables[2].count()
