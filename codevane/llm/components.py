@@ -16,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """
     if large:
         edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = store.written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+    least = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     tied = edges.join(least, "a")
     if large:
         moved = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -30,7 +30,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds end when a pair of stars changes nothing; their number grows with
     the logarithm of the longest path.  Tables go to the shared folder, never
-    to the driver.
+    to the driver; the result is one that ``store.drop`` takes.  Links with a
+    null end, and of a node with itself, are none; a table without links gives
+    no rows.
     """
     edges = store.written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
@@ -39,8 +41,11 @@ def components(links: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             break
         mark = now
-        stars = store.written(_star(store.written(_star(edges, True)), False))
-        store.drop(edges)
+        half = store.written(_star(edges, True))
+        stars = store.written(_star(half, False))
+        store.drop(half, edges)
         edges = stars
     # every edge now ties a node to the least of its component
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = store.written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    store.drop(edges)
+    return found

@@ -1,38 +1,52 @@
 """Near copies by a grouped prefix join on word n-grams.
 
-Every document is the set of its n-grams.  Sets that are alike are one class.
-In an order of all n-grams, rare ones first, two classes similar enough share
-an n-gram of their prefixes.  Classes of equal prefix and size form a group and
-only groups are joined; pairs of groups pass the size filter and the filter of
-the places where they meet, are expanded to their members, and are verified on
-the whole sets.
+Every document is the set of its n-grams.  Documents of equal words are one
+class.  In an order of all n-grams, rare ones first, two sets similar enough
+share an n-gram of their prefixes.  Classes of equal prefix and size form a
+group; only groups are joined by n-grams.  Pairs pass the size filter, the
+filter of the places where they meet and a filter on signatures, are expanded
+to their members, and are verified on the words themselves.
 
 What is asked for is the components of the links, so pairs of one component
-need no second look.  First each list of a prefix n-gram links its members to
-the one with the fewest rarer n-grams, and neighbours in size to each other.
-Once these are verified, only pairs whose components still differ are listed.
-No list is ever multiplied out otherwise, so a group of thousands of near
-copies costs about one pair a member.
+need no second look.  Each list of a prefix n-gram, and each group of two
+members or more, is gone through in three turns, and what a turn finds is
+verified before the next:
+
+1. Its groups are paired with the one of fewest rarer n-grams, and a group's
+   members with its least.
+2. Lists whose members are still in several components are expanded to
+   members.  A short list gives all pairs that pass the filters; a long one a
+   spanning forest of them.
+3. Long lists give all pairs that pass and still differ in component.
+
+A signature holds, for each of its bits, whether the set has an odd number of
+n-grams there; bits in which two signatures differ bound from below what only
+one of the sets has.  So pairs that are not alike hardly ever go further.  A
+long list is cut into slices and each pair of slices is a piece of work of its
+own: no task holds more than two slices of a list.
 
 n-gram counts for the order are kept in 2**SKETCH_BITS cells, summed over all
 documents; n-grams that meet in a cell count together, which can only change
-the order and thus the cost.  n-grams are compared by 64-bit hashes.
+the order and thus the cost.  Candidates come from 64-bit hashes; classes are
+told apart by a cryptographic hash of their words, and links are decided by
+comparing words.
 
 Defined results: a text with fewer words than an n-gram is one n-gram of all of
 them; a text null or without words is empty and linked with nothing; a row
 without an id is linked with nothing and has no component; rows that repeat an
-id count as one document; a table without rows gives none; other columns are
-not read.
+id count as one document, linked if one of its texts is; a table without rows
+gives none; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codevane.llm import store, wordhash
@@ -41,6 +55,12 @@ from codevane.llm.components import components
 SKETCH_BITS = 20
 #: Bits of an n-gram's hash in prefixes and lists, where a chance meeting only makes a candidate.
 TOKEN_BITS = 40
+#: Columns of 64 bits that are a signature; with their number the bits are a power of two.
+SIGNATURE = [f"g{i}" for i in range(8)]
+#: Members of a list that are a slice on average, and up to how many members a list counts as short.
+SLICE, SHORT = 2048, 32
+#: Pairs of one document that are verified in one task.
+FAN = 256
 
 
 @dataclass(frozen=True)
@@ -71,6 +91,20 @@ class Rule:
                 else:
                     yield wordhash.runs(b.hash[x:y], y - x) if y > x else np.zeros(0, np.uint64)
 
+    def grams(self, words: list[bytes]) -> set[tuple[bytes, ...]]:
+        """The set of n-grams of a text's words."""
+        if len(words) < self.words:
+            return {tuple(words)} if words else set()
+        return set(zip(*[words[i:] for i in range(self.words)], strict=False))
+
+    def linked(self, a: set, b: set) -> bool:
+        c = len(a & b)
+        return c > 0 and self.den * c >= self.num * (len(a) + len(b) - c)
+
+
+def _words(text: pa.Scalar) -> list[bytes]:
+    return (text.as_py() or b"").lower().split()
+
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -99,167 +133,225 @@ def _signed(values: list | np.ndarray) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
+def _signature(s: np.ndarray) -> np.ndarray:
+    bits = 64 * len(SIGNATURE)
+    at = (s >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n, s1, s2, prefix): size, a 128-bit hash of the set, and its prefix."""
+    """(doc_id, n, class, prefix) and the signature: size of the set, hash of the words, prefix."""
     held = docs.sparkSession.sparkContext.broadcast(_sketch(docs, rule))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
         for batch in batches:
-            n, s1, s2, prefix = [], [], [], []
+            n, prefix, sig = [], [], []
+            texts = batch.column(1).cast(pa.large_binary())
             for s in rule.sets(batch.column(1)):
                 n.append(len(s))
-                s1.append(int(s.sum(dtype=np.uint64)))
-                s2.append(int(wordhash.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
                 order = np.argsort(counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)], kind="stable")
                 prefix.append(s[order[: rule.prefix(len(s))]] >> np.uint64(64 - TOKEN_BITS) if len(s) else s)
+                sig.append(_signature(s))
+            same = [hashlib.blake2b(b" ".join(_words(t)), digest_size=16).digest() for t in texts]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32))
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _signed(s1), _signed(s2), pa.ListArray.from_arrays(offsets, _signed(flat))], names=["doc_id", "n", "s1", "s2", "prefix"])
+            marks = np.array(sig, np.int64).reshape(-1, len(SIGNATURE))
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.ListArray.from_arrays(offsets, _signed(flat)), *[pa.array(m) for m in marks.T.copy()]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "class", "prefix", *SIGNATURE])
 
-    return _rows(docs).mapInArrow(store.frugal(run), "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return _rows(docs).mapInArrow(store.frugal(run), "doc_id long, n long, class binary, prefix array<long>, " + ", ".join(f"{g} long" for g in SIGNATURE))
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of a partition sorted by its first column, cut so that no value is split."""
-    rest: list[np.ndarray] | None = None
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        if last:
-            yield [c[:last] for c in cols]
-        rest = [c[last:] for c in cols]
-    if rest is not None and len(rest[0]):
-        yield rest
+def _hubs(shared: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of each list's first group in rarity with the others, by size and place."""
+    n, m = F.col("n"), F.col("hub.n")
+    sizes = rule.den * F.least(n, m) >= rule.num * F.greatest(n, m)
+    reach = F.least(n - F.col("pos"), m - F.col("hub.pos")) >= _need(rule, n, m)
+    return shared.where((F.col("id") != F.col("hub.id")) & sizes & reach).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Distinct pairs, smaller id first."""
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((hi, lo))
-    lo, hi = lo[order], hi[order]
-    new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) & (lo != hi) if len(lo) else np.zeros(0, bool)
-    return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new])], names=["a", "b"])
+def _need(rule: Rule, n: Column, m: Column) -> Column:
+    """The least overlap of linked sets of sizes n and m."""
+    return F.ceil(F.lit(rule.num) * (n + m) / F.lit(rule.num + rule.den))
 
 
-def _by_token(df: DataFrame) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, "token").sortWithinPartitions("token", "n", "id")
+def _near(pairs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct pairs, smaller id first, that the signatures leave possible; an id may have several."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(signed.select(F.col("id").alias(side), F.col("n").alias("n" + side), *[F.col(g).alias(g + side) for g in SIGNATURE]), side)
+    apart = sum((F.bit_count(F.col(g + "a").bitwiseXOR(F.col(g + "b"))) for g in SIGNATURE), F.lit(0))
+    n, m = F.col("na"), F.col("nb")
+    return pairs.where(F.shiftright(n + m - apart, 1) >= _need(rule, n, m)).select("a", "b").distinct()
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """The postings whose n-gram is in two prefixes or more."""
+def _several(lists: DataFrame, comps: DataFrame, least: int) -> DataFrame:
+    """Rows (token, id, n, pos) of lists of at least ``least`` members of more than one component, with ``comp`` and the list's ``size``."""
+    named = lists.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
+    return named.join(mixed.where((F.col("lo") < F.col("hi")) & (F.col("size") >= least)).select("token", "size"), "token")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _lists(batches):
-            t = cols[0]
-            same = t[1:] == t[:-1]
-            many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in cols], names=["token", "n", "id", "pos"])
 
-    return _by_token(postings.select("token", "n", "id", "pos")).mapInArrow(store.frugal(run), "token long, n long, id long, pos int")
+def _cells(members: DataFrame) -> DataFrame:
+    """Members dealt to pairs of slices (x, y) of their list, so that every two of a list meet in one cell, or more for two of one slice."""
+    slices = F.ceil(F.col("size") / SLICE).cast("int")
+    members = members.withColumn("slices", slices).withColumn("s", F.pmod(F.xxhash64("id"), F.col("slices").cast("long")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.struct(F.least(k, F.col("s")).alias("x"), F.greatest(k, F.col("s")).alias("y")))
+    return members.withColumn("cell", F.explode(cells)).select("token", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "s", "size", "id", "n", "pos", "comp", *SIGNATURE)
 
 
-def _passes(rule: Rule, n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Size filter, and what the two can still have in common from the place where they meet."""
-    a, b = n[i], n[j]
-    sizes = rule.den * np.minimum(a, b) >= rule.num * np.maximum(a, b)
-    return sizes & (np.minimum(a - pos[i], b - pos[j]) >= rule.common(a, b))
+def _groups_of(cols: list[np.ndarray], keys: int) -> np.ndarray:
+    """The starts of the stretches of rows that are alike in their first ``keys`` columns."""
+    fresh = np.ones(len(cols[0]), bool)
+    if len(cols[0]):
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in cols[:keys]], axis=0)
+    return np.flatnonzero(fresh)
 
 
-def _stars(shared: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of each list's first member in rarity with the others, and of neighbours in size."""
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs, smaller id first."""
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((hi, lo))
+    lo, hi = lo[order], hi[order]
+    new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) & (lo != hi) if len(lo) else np.zeros(0, bool)
+    return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new])], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, n, ids, pos in _lists(batches):
-            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            size = np.diff(np.append(start, len(t)))
-            group = np.repeat(np.arange(len(start)), size)
-            best = np.lexsort((ids, n, pos, group))[start]
-            hub, each = np.repeat(best, size), np.arange(len(t))
-            near = np.flatnonzero(group[1:] == group[:-1]) if len(t) > 1 else each[:0]
-            i, j = np.concatenate([hub, near]), np.concatenate([each, near + 1])
-            ok = _passes(rule, n, pos, i, j)
-            yield _pairs(ids[i[ok]], ids[j[ok]])
 
-    return _by_token(shared).mapInArrow(store.frugal(run), "a long, b long").distinct()
+@dataclass
+class _Cell:
+    """Columns of some members, and the filters on pairs of places."""
+
+    rule: Rule
+    ids: np.ndarray
+    n: np.ndarray
+    pos: np.ndarray
+    sig: np.ndarray
+
+    def near(self, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j) pass all filters."""
+        a, b = self.n[i], self.n[j]
+        need = self.rule.common(a, b)
+        ok = (self.rule.den * np.minimum(a, b) >= self.rule.num * np.maximum(a, b)) & (np.minimum(a - self.pos[i], b - self.pos[j]) >= need)
+        k = np.flatnonzero(ok)
+        if len(k):
+            one = self.sig[i] if np.isscalar(i) else self.sig[i[k]]
+            apart = np.bitwise_count(one ^ self.sig[j[k]]).sum(axis=1, dtype=np.int64)
+            most = ((a if np.isscalar(i) else a[k]) + b[k] - apart) >> 1
+            ok[k] = most >= (need[k] if need.ndim else need)
+        return ok
+
+
+def _candidates(members: DataFrame, rule: Rule, forest: bool) -> DataFrame:
+    """Pairs of different components that pass the filters: of long lists all, or with ``forest`` a spanning forest; of short ones all."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = _cells(members).repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "s", "id")
+
+    def short(c: _Cell, comp: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(start), 4096):
+            s, m = start[lo : lo + 4096], size[lo : lo + 4096]
+            first = np.concatenate([np.arange(a, a + k) for a, k in zip(s.tolist(), m.tolist())])
+            ahead = np.repeat(s + m, m) - first - 1
+            i = np.repeat(first, ahead)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+            other = comp[i] != comp[j]
+            i, j = i[other], j[other]
+            ok = c.near(i, j)
+            if ok.any():
+                yield _pairs(c.ids[i[ok]], c.ids[j[ok]])
+
+    def long(c: _Cell, comp: np.ndarray, side: np.ndarray, across: bool, a: int, b: int) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, np.ndarray]] = []
+        label, held = comp[a:b].copy(), 0
+        middle = int(np.searchsorted(side[a:b], side[a], "right")) if across else 0
+        for i in range(middle or b - a):
+            lo = middle if across else i + 1
+            j = np.flatnonzero(label[lo:] != label[i]) + lo
+            if len(j):
+                j = j[c.near(a + i, a + j)]
+            if not len(j):
+                continue
+            if forest:
+                names, at = np.unique(label[j], return_index=True)
+                j = j[at]
+                label[np.isin(label, names)] = label[i]
+            found.append((a + i, a + j))
+            held += len(j)
+            if held > 1 << 18:
+                yield _pairs(np.concatenate([np.full(len(y), c.ids[x]) for x, y in found]), np.concatenate([c.ids[y] for _, y in found]))
+                found, held = [], 0
+        if found:
+            yield _pairs(np.concatenate([np.full(len(y), c.ids[x]) for x, y in found]), np.concatenate([c.ids[y] for _, y in found]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _whole(batches, 3):
+            keys, (side, size, ids, n, pos, comp), marks = cols[:3], cols[3:9], cols[9:]
+            c = _Cell(rule, ids, n, pos, np.stack(marks, axis=1).view(np.uint64))
+            start = _groups_of(cols, 3)
+            count = np.diff(np.append(start, len(ids)))
+            small = size[start] <= SHORT
+            yield from short(c, comp, start[small], count[small])
+            for a, k in zip(start[~small].tolist(), count[~small].tolist()):
+                yield from long(c, comp, side, bool(keys[1][a] != keys[2][a]), a, a + k)
+
+    return cells.mapInArrow(store.frugal(run), "a long, b long").distinct()
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of a sorted partition, cut so that rows alike in their first ``keys`` columns stay together."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not len(cols[0]):
+            continue
+        last = int(_groups_of(cols, keys)[-1])
+        fresh = bool(held) and any(c[0] != h[-1] for c, h in zip(cols[:keys], held[-1], strict=False))
+        if held and (last or fresh):
+            if last:
+                held.append([c[:last] for c in cols])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        elif last:
+            yield [c[:last] for c in cols]
+        held.append([c[last:] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _rest(shared: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of each list that pass the filters and differ in component."""
+def _linked(pairs: DataFrame, docs: DataFrame, rule: Rule, twice: bool) -> DataFrame:
+    """The pairs that are linked, by their words; with ``twice`` an id may have several texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, n, ids, pos, comp in _lists(batches):
-            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            end = np.append(start[1:], len(t))
-            found_a, found_b, held = [], [], 0
-            for x, y in zip(start.tolist(), end.tolist(), strict=True):
-                if (comp[x:y] == comp[x]).all():
-                    continue
-                for i in range(x, y - 1):
-                    j = np.arange(i + 1, y)
-                    j = j[(comp[j] != comp[i]) & _passes(rule, n, pos, np.full(len(j), i), j)]
-                    if len(j):
-                        found_a.append(np.full(len(j), ids[i]))
-                        found_b.append(ids[j])
-                        held += len(j)
-                    if held > 1 << 20:
-                        yield _pairs(np.concatenate(found_a), np.concatenate(found_b))
-                        found_a, found_b, held = [], [], 0
-            if held:
-                yield _pairs(np.concatenate(found_a), np.concatenate(found_b))
-
-    return _by_token(shared).select("token", "n", "id", "pos", "comp").mapInArrow(store.frugal(run), "a long, b long").distinct()
-
-
-def _within_reach(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs whose prefixes leave the overlap possible.
-
-    Of the two prefixes, take the one whose last n-gram is earlier in order.
-    What its set has in common with the other is in both prefixes, or beyond
-    that prefix; whichever it is, the larger remainder is a bound.  n-grams
-    that meet in a token only raise it.
+    A pair carries the text of its ``b``; the text of ``a`` goes once to each
+    group of FAN pairs.
     """
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    classes = store.passing(classes.select("node", "n", "prefix"), "node", ids, "id")
-    side = {x: classes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("prefix").alias("p" + x)) for x in "ab"}
-    both = pairs.join(side["a"], "a").join(side["b"], "b")
-    # two n-grams of one set that meet in a token count as one there, hence are added again
-    common = F.size(F.array_intersect("pa", "pb")) + F.size("pa") - F.size(F.array_distinct("pa"))
-    spare_a, spare_b = F.col("na") - F.size("pa"), F.col("nb") - F.size("pb")
-    most = common + F.greatest(spare_a, spare_b)
-    need = F.ceil(F.lit(rule.num) * (F.col("na") + F.col("nb")) / F.lit(rule.num + rule.den))
-    return both.where(most >= need).select("a", "b")
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that are linked, by their whole sets."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = store.passing(_rows(docs).where("doc_id is not null"), "doc_id", ids, "id")
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in rule.sets(batch.column(1))], pa.binary())], names=["id", "set"])
-
-    sets = store.written(rows.mapInArrow(store.frugal(fetch), "id long, set binary"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("fan"))
+    pairs = store.written(pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "fan")).select("a", "b", "salt"))
+    ids = store.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = store.passing(_rows(docs).where("doc_id is not null"), "doc_id", ids, "id")
+    texts = store.written(texts.distinct() if twice else texts)
+    ones = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    others = pairs.join(texts, F.col("b") == F.col("doc_id")).select("a", "salt", "b", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = ones.unionByName(others).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[set] = []
+        now = None
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), max(0, len(x) - 1))
-                c = int((x[at] == y).sum()) if len(x) else 0
-                ok[i] = c > 0 and rule.den * c >= rule.num * (len(x) + len(y) - c)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
-
-    links = store.written(both.select("a", "b", "sa", "sb").mapInArrow(store.frugal(verify), "a long, b long"))
-    store.drop(sets)
+            a, b = [], []
+            for x, salt, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.large_binary()), strict=True):
+                if (x, salt) != now:
+                    now, own = (x, salt), []
+                grams = rule.grams(_words(text))
+                if y is None:
+                    own.append(grams)
+                elif any(rule.linked(o, grams) for o in own):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    links = store.written(both.mapInArrow(store.frugal(verify), "a long, b long"))
+    store.drop(texts, ids, pairs)
     return links
 
 
@@ -267,28 +359,59 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = store.written(_prefixes(docs, rule))
     known = rows.where("doc_id is not null and n > 0")
-    classes = store.written(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")))
     same = ["n", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit(1), "prefix").alias("p2")]
-    groups = store.written(classes.select("node", "prefix", *same).groupBy("n", "p1", "p2").agg(F.min("node").alias("id"), F.first("prefix").alias("prefix")))
-    postings = groups.select("n", "id", F.posexplode("prefix").alias("pos", "token"))
-    shared = store.written(_shared(postings))
-    members = classes.select("node", *same).join(groups.select("n", "p1", "p2", "id"), ["n", "p1", "p2"]).select("id", "node")
-    inner = members.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    stars = store.written(_stars(shared, rule).unionByName(inner).distinct())
-    links = _linked(store.written(_within_reach(stars, classes, rule)), docs, rule)
-    found = components(links)
-    # lists again, with every member and its component so far
-    spread = shared.join(members.withColumnRenamed("id", "gid"), F.col("id") == F.col("gid")).select("token", "n", F.col("node").alias("id"), "pos")
-    spread = spread.join(found, F.col("id") == F.col("node"), "left").select("token", "n", "id", "pos", F.coalesce("component", "id").alias("comp"))
-    rest = _rest(spread, rule).join(stars, ["a", "b"], "left_anti")
-    rest = store.written(_within_reach(rest, classes, rule))
-    if not rest.isEmpty():
-        found = components(links.unionByName(_linked(rest, docs, rule)))
-    named = classes.join(found, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
-    own = rows.select("doc_id", "n", "s1", "s2")
-    full = own.where("doc_id is not null and n > 0").join(store.written(named), ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = own.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    classes = store.written(known.groupBy("class").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "prefix", *SIGNATURE)]))
+    groups = store.written(classes.select("node", "prefix", *same).groupBy("n", "p1", "p2").agg(F.min("node").alias("id"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("size")))
+    members = store.written(classes.select("node", *same).join(groups.where("size > 1").select("n", "p1", "p2", "id"), ["n", "p1", "p2"]).select("id", "node", "n"))
+    signed = classes.select(F.col("node").alias("id"), "n", *SIGNATURE)
+    # ids that stand in several rows; their classes are one document's
+    again = store.written(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("k > 1").select("doc_id", (F.col("lo") < F.col("hi")).alias("differ")))
+    twice = not again.isEmpty()
+    links = []
+    if twice:
+        own = known.join(again.where("differ"), "doc_id").select("doc_id", "class").join(classes.select("class", "node"), "class")
+        links.append(store.written(own.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all")).select("a", F.explode("all").alias("b")).where("a <> b")))
+
+    postings = groups.select("n", "id", "size", F.posexplode("prefix").alias("pos", "token"))
+    tokens = store.written(postings.groupBy("token").agg(F.min(F.struct("pos", "n", "id")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "hub"))
+    shared = store.written(store.passing(postings, "token", tokens, "token").join(tokens, "token"))
+    tried: list[DataFrame] = []
+    comps: DataFrame | None = None
+
+    def turn(pairs: DataFrame) -> None:
+        """Verifies pairs that no turn has had yet, and joins components."""
+        nonlocal comps
+        for had in tried:
+            pairs = pairs.join(had, ["a", "b"], "left_anti")
+        pairs = store.written(pairs)
+        tried.append(pairs)
+        if not pairs.isEmpty():
+            links.append(_linked(pairs, docs, rule, twice))
+        elif comps is not None:
+            return
+        edges = pairs.where("false")
+        for more in links:
+            edges = edges.unionByName(more)
+        if comps is not None:
+            store.drop(comps)
+        comps = components(edges)
+
+    turn(_near(_hubs(shared, rule).unionByName(members.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))), signed, rule))
+    # the lists: n-grams of two groups or more with all their members, and groups of two members or more
+    alone = shared.where("size = 1").select("token", "id", "n", "pos")
+    spread = shared.where("size > 1").select("token", "id", "pos").join(members, "id").select("token", F.col("node").alias("id"), "n", "pos")
+    inner = members.select(F.shiftrightunsigned(F.xxhash64("id"), 1).alias("token"), F.col("node").alias("id"), "n", F.lit(0).alias("pos"))
+    lists = alone.unionByName(spread).unionByName(inner)
+    for forest, least in ((True, 2), (False, SHORT + 1)):
+        few = store.written(_several(lists, comps, least))
+        if not few.isEmpty():
+            turn(_candidates(few.join(signed.drop("n"), "id"), rule, forest))
+        store.drop(few)
+    named = store.written(classes.select("class", "node").join(comps, "node", "left").select("class", F.coalesce("component", "node").alias("component_id")))
+    own = rows.select("doc_id", "n", "class")
+    full = own.where("doc_id is not null and n > 0").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    store.drop(classes, groups, members, again, tokens, shared, comps, *tried, *links)
+    return full.unionByName(own.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def digest(docs: DataFrame) -> DataFrame:

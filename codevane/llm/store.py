@@ -1,4 +1,8 @@
-"""Shared storage for intermediate tables, and vectors summed over all tasks."""
+"""Shared storage for intermediate tables, and vectors summed over all tasks.
+
+A table without rows is written and read as one; its sum is all zeros and its
+filter lets nothing pass.  Null texts reach a task's function as nulls.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codevane.llm import wordhash
 
@@ -19,9 +24,11 @@ PIECE = 512
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -63,11 +70,12 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def summed(df: DataFrame, vector: Callable[[Iterator[pa.RecordBatch]], np.ndarray], width: int) -> np.ndarray:
@@ -114,6 +122,8 @@ def summed(df: DataFrame, vector: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     return sums[:width]
 
 
+#: Keys that are sent as they are.
+FEW = 1 << 17
 #: A filter's bits for each key, and the bound on its size: 2**28 bits are 32 MB.
 KEY_BITS, MOST_BITS = 16, 1 << 28
 
@@ -176,8 +186,10 @@ def filter_of(df: DataFrame, column: str) -> Filter:
 def passing(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
     """The rows of df whose column may be among the keys: all that are, and a few others.
 
-    Saves a join from shuffling rows that cannot match.
+    Saves a join from shuffling rows that cannot match.  A key must not be null.
     """
+    if keys.count() <= FEW:
+        return df.join(F.broadcast(keys.select(F.col(key).alias(column)).distinct()), column, "left_semi").select(*df.columns)
     held = df.sparkSession.sparkContext.broadcast(filter_of(keys, key).bits)
     at = df.columns.index(column)
 

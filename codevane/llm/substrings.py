@@ -96,12 +96,16 @@ class Hasher:
     """Hashes of word sequences of a block: hash of words a to b-1 in constant time."""
 
     def __init__(self, words: np.ndarray):
-        power, self.inverse = wordhash._tables(len(words) + 1)
-        self.sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * power[: len(words)], out=self.sums[1:])
+        high, low, self.inverse = wordhash._tables(len(words) + 1)
+        n = len(words)
+        value = wordhash.product(words >> np.uint64(3), (high[:n] << np.uint64(30)) | low[:n])
+        self.high, self.low = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(value >> np.uint64(30), out=self.high[1:])
+        np.cumsum(value & np.uint64((1 << 30) - 1), out=self.low[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return wordhash.mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64) * _K2)
+        value = wordhash.joined(self.high[b] - self.high[a], self.low[b] - self.low[a])
+        return wordhash.mix(wordhash.product(value, self.inverse[a]) + (b - a).astype(np.uint64) * _K2)
 
 
 def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:

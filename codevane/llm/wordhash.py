@@ -1,9 +1,12 @@
 """Words of a column of texts as arrays of 64-bit hashes.
 
 A word is a run of bytes other than space and the controls 9 to 13.  A word's
-hash is a polynomial of its bytes, taken from running sums over a whole block,
-so a block costs a few passes of array arithmetic and no loop over words.
-Equal words have equal hashes in every process.
+hash is a polynomial of its bytes modulo 2**61 - 1, taken from running sums
+over a whole block, so a block costs a few passes of array arithmetic and no
+loop over words.  Equal words have equal hashes in every process; two unlike
+words of n bytes have the same in about n of 2**61 cases.
+
+A null text counts as empty and has no words.
 """
 
 from __future__ import annotations
@@ -17,23 +20,52 @@ import pyarrow as pa
 #: Bytes of text worked on at once; a longer text is cut between words.
 BLOCK = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Hashes are polynomials over the field of this prime, so no pattern of letters makes unlike words meet.
+PRIME = (1 << 61) - 1
+_BASE = 0x0F1E2D3C4B5A6978
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
+_P, _LOW = np.uint64(PRIME), np.uint64((1 << 30) - 1)
+_powers: list[np.ndarray] = []
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**63 modulo PRIME."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times_power(x: np.ndarray, bits: int) -> np.ndarray:
+    """x * 2**bits modulo PRIME, for x below PRIME: its 61 bits turned round."""
+    return ((x << np.uint64(bits)) & _P) | (x >> np.uint64(61 - bits))
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below PRIME."""
+    a1, a0 = a >> np.uint64(30), a & _LOW
+    b1, b0 = b >> np.uint64(30), b & _LOW
+    middle = _reduced(a1 * b0 + a0 * b1)
+    return _reduced(_reduced(_times_power(_reduced(a1 * b1), 60) + _times_power(middle, 30)) + _reduced(a0 * b0))
+
+
+def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """high * 2**30 + low modulo PRIME, for numbers below 2**62."""
+    return _reduced(_times_power(_reduced(high), 30) + _reduced(low))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, np.uint64(base % (1 << 64)), np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0], _powers[1]
+def _tables(n: int) -> tuple[np.ndarray, ...]:
+    """The high and low parts of the first n powers of the base, and the powers of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        found = []
+        for base in (_BASE, pow(_BASE, -1, PRIME)):
+            p = np.ones(1, np.uint64)
+            while len(p) < n:
+                p = np.concatenate([p, product(p, np.uint64(pow(base, len(p), PRIME)))])
+            found.append(p)
+        _powers[:] = [found[0] >> np.uint64(30), found[0] & _LOW, found[1]]
+    return tuple(_powers)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,11 +91,15 @@ def _split(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash(buf: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
-    power, inverse = _tables(len(buf) + 1)
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[buf] * power[: len(buf)], out=sums[1:])
-    return mix((sums[en] - sums[st]) * inverse[st] + (en - st).astype(np.uint64))
+    high, low, inverse = _tables(len(buf) + 1)
+    byte, sums = buf.astype(np.uint64) + np.uint64(1), []
+    for power in (high, low):
+        s = np.zeros(len(buf) + 1, np.uint64)
+        # 2**21 products of at most 2**40 stay below 2**61
+        np.cumsum(byte * power[: len(buf)], out=s[1:])
+        sums.append(s[en] - s[st])
+    value = product(joined(*sums), inverse[st])
+    return mix(value + (en - st).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @dataclass

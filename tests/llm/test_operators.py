@@ -152,6 +152,65 @@ def test_similarity(spark, docs, rule):
     assert got == jaccard([(r.doc_id, r.text) for r in df.collect()], rule)
 
 
+def check_similarity(spark, texts, rule):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in similarity.join(df, rule).collect())
+    assert got == jaccard(list(enumerate(texts)), rule)
+    return got
+
+
+def test_members_of_one_group_are_compared(spark):
+    """Documents that are alike only with each other, in a group whose prefix no other group has."""
+    head = " ".join(f"h{i}" for i in range(7))
+    a, b = ([f"{x}{i}" for i in range(35)] for x in "ab")
+    texts = [f"{head} {' '.join(w)}" for w in (a, b, [*b[:-1], "other"])]
+    for j, body in enumerate((a, b, [*b[:-1], "other"])):
+        texts += [" ".join(["h5", "h6", *body, *(f"f{j}x{k}x{i}" for i in range(80))]) for k in range(6)]
+    got = check_similarity(spark, texts, similarity.Rule(3, 90, 100))
+    assert (2, 40, 1) in got
+
+
+@pytest.mark.parametrize("limits", [{}, {"SHORT": 2, "SLICE": 3, "FAN": 2}])
+@pytest.mark.parametrize("rule", [similarity.Rule(3, 90, 100), similarity.Rule()])
+def test_groups_of_several_clusters(spark, monkeypatch, rule, limits):
+    """Equal prefixes of rare words before bodies of common ones, some alike and some not."""
+    for k, v in limits.items():
+        monkeypatch.setattr(similarity, k, v)
+    rnd, texts, bodies = random.Random(11), [], []
+    for g in range(4):
+        head = [f"rare{g}x{i}" for i in range(12)]
+        for c in range(4):
+            body = [f"b{c}w{i}" for i in range(60)]
+            for _ in range(5):
+                own = list(body)
+                for _ in range(rnd.randrange(0, 4)):
+                    own[rnd.randrange(40, 60)] = f"z{rnd.randrange(3)}"
+                bodies.append(own)
+                texts.append(" ".join(head + own))
+    for own in bodies[:40]:
+        texts += [" ".join([*own, *(f"f{len(texts)}x{k}" for k in range(120))]) for _ in range(3)]
+    check_similarity(spark, texts, rule)
+
+
+def test_long_patterned_words_differ(spark):
+    """Words whose polynomials modulo 2**64 are equal for every odd base."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert [x[2] for x in sorted(check_similarity(spark, [a, b, a], similarity.Rule(3, 90, 100)))] == [0, 1, 0]
+    w = " w" * 60
+    rows = substrings.digest(spark.createDataFrame([(0, a + w), (1, b + w), (2, "c" + w)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {0: 0, 1: 60, 2: 60}
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    df = spark.createDataFrame([(7, x), (7, y), (3, x), (9, y + " end"), (5, z)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in similarity.join(df, similarity.Rule(3, 90, 100)).collect())
+    assert got == Counter([(7, 3), (7, 3), (3, 3), (9, 3), (5, 5)])
+
+
 def test_similarity_empty(docs):
     assert similarity.digest(empty(docs)).count() == 0
 
