@@ -3,26 +3,38 @@
 Vectors are packed into blocks.  In a block, each component has a list of the
 block's vectors sorted by that component; a query reads the list from the end
 where its own component makes products large.  All lists are read to the same
-depth.  What has been read of a vector, plus the last value read for each
-component it has not shown in, bounds its score from above; with the list's
-far end instead, from below.  A query stops once few vectors are left whose
-upper bound reaches its k-th best lower bound (these include every vector not
-seen at all), and the exact scores of those few are resolved.
-
-The queries of a query block read together, so a step of depth is a matrix
-product.  Each pair of blocks is one row of an equi-join on the pair's numbers,
-so work spreads evenly whatever the vectors are, and nothing is broadcast.
-
-Scores are integers: component x counts as floor(SCALE * x), held between
--LIMIT and LIMIT.  Defined results: vectors that are null, empty or hold a null
-or non-finite component, and rows without an id, take no part; a query never
-gets a row of its own id; shorter vectors count as filled up with 0; ties go
-to the smaller id; equal vectors and repeated ids are separate candidates; a
-table without rows or queries gives none; other columns are not read.
+depth, step by step.  What has been read of a vector, plus the last value read
+of each component it has not shown in, bounds its score from above; with the
+list's far end instead, from below.  The last values alone bound every vector
+that no list has shown.  Once that bound is below the k-th best lower bound,
+which a task carries on from block to block, no outsider can qualify; the
+exact scores of those seen whose upper bound still reaches it are resolved.  At
+the lists' end all that are left are resolved by one product.  Bounds are only
+worked out where the length of the vectors does not rule out a stop anyway.
+
+Queries are dealt to groups and blocks to rows; a task holds the queries of a
+group and reads the blocks of a row one by one.  A group has at most HELD
+queries, so vectors are sent once for each HELD queries, queries once for each
+row, and nothing is broadcast.
+
+Scores are exact: component x counts as floor(SCALE * x), as a whole number of
+any size.  Products are taken in doubles where all sums stay below 2**53, in
+64-bit numbers below 2**63, and in numbers without bound beyond that; such
+vectors are kept apart, so that they do not slow down the others.
+
+Defined results: vectors that are null or hold a null or non-finite component,
+and rows without an id, take no part; a vector without components scores 0, and
+shorter ones count as filled up with 0; a query never gets a row of its own id;
+ties go to the smaller id; a score that 64 bits cannot hold ranks by its value
+and is reported as the nearest number they can; equal vectors and repeated ids
+are separate candidates, and a query id that repeats gets the best of its
+vectors' results; a table without rows or queries gives none; other columns are
+not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,32 +43,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 1024
-LIMIT = 1 << 24
-#: Vectors and queries in a block.
-VECTORS, QUERIES = 4096, 512
-#: Steps in which a list is read; a query stops at the first that suffices.
-STEPS = 8
-#: A query stops when at most this many times k vectors are left.
-LEFT = 8
+#: Vectors and queries in a block, and queries in a group.
+VECTORS, QUERIES, HELD = 2048, 512, 1 << 16
+#: Shares of a list's length at which bounds are looked at; at the end of the lists all is known.
+DEPTHS = (1 / 64, 1 / 16, 1 / 4, 1 / 2)
 
-#: Below every score.
-NONE = -(1 << 62)
+LARGEST = (1 << 63) - 1
+#: Sums below these are exact in doubles and in 64-bit numbers.
+EXACT = ((1 << 53, np.float64), (1 << 63, np.int64))
 
 BLOCK = "block long, dim int, ids binary, data binary"
 FOUND = "query_id long, vec_id long, score long"
 
 
-def _whole(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Which vectors take part, and their components as a matrix of whole numbers."""
+def _valid(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors take part, and their components as a matrix of doubles."""
     values = values.cast(pa.large_list(pa.float64()))
+    there = values.is_valid().to_numpy(zero_copy_only=False)
     n = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = values.flatten()
-    x = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    x = values.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False)
     out = np.zeros((len(n), int(n.max()) if len(n) else 0))
     row = np.repeat(np.arange(len(n)), n)
     out[row, np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)] = x
-    ok = (n > 0) & np.isfinite(out).all(axis=1)
-    return ok, np.clip(np.floor(SCALE * out[ok]), -LIMIT, LIMIT).astype(np.int32)
+    ok = there & np.isfinite(out).all(axis=1)
+    return ok, out[ok]
 
 
 def packed(df: DataFrame, per_block: int) -> DataFrame:
@@ -75,10 +85,10 @@ def packed(df: DataFrame, per_block: int) -> DataFrame:
 
         def join() -> tuple[np.ndarray, np.ndarray]:
             width = max(r.shape[1] for r in rows)
-            return np.concatenate(ids), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows])
+            return np.concatenate(ids), np.concatenate([_padded(r, width) for r in rows])
 
         for batch in batches:
-            ok, x = _whole(batch.column(1))
+            ok, x = _valid(batch.column(1))
             ids.append(batch.column(0).to_numpy(zero_copy_only=False)[ok])
             rows.append(x)
             held += len(x)
@@ -94,80 +104,186 @@ def packed(df: DataFrame, per_block: int) -> DataFrame:
     return df.mapInArrow(pack, BLOCK)
 
 
-def aggregate(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its place, the ids and the scores of the block's best k, by bounds over sorted lists."""
+def _padded(x: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
+def _unpacked(dim: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    names = np.frombuffer(ids, np.int64)
+    return names, np.frombuffer(data, np.float64).reshape(len(names), dim)
+
+
+def whole(x: np.ndarray, kind: type) -> np.ndarray:
+    """floor(SCALE * x) as numbers of a kind; ``object`` holds any."""
+    if kind is not object:
+        return np.floor(SCALE * x).astype(kind)
+    # a double beyond 2**53 has no fraction
+    out = [SCALE * int(v) if abs(v) > 2.0**53 else math.floor(SCALE * v) for v in x.ravel().tolist()]
+    return np.array(out, object).reshape(x.shape)
+
+
+def magnitudes(x: np.ndarray) -> np.ndarray:
+    """0, 1 or 2 for each row: products of two rows of 0 are exact in doubles, of 1 in 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        most = np.abs(x).max(axis=1, initial=0) * SCALE + 1
+        return sum((most**2 * max(1, x.shape[1]) >= limit).astype(np.int64) for limit, _ in EXACT)
+
+
+def kinds(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows of a matrix by magnitude: places and rows."""
+    m = magnitudes(x) if len(x) else np.zeros(0, np.int64)
+    return [(at, x[at]) for k in range(3) if len(at := np.flatnonzero(m == k))]
+
+
+def exact_kind(a: np.ndarray, b: np.ndarray) -> type:
+    """The numbers in which products of rows of a and b are exact."""
+    most = (float(np.abs(a).max(initial=0)) * SCALE + 1) * (float(np.abs(b).max(initial=0)) * SCALE + 1) * max(1, a.shape[1])
+    return next((kind for limit, kind in EXACT if most < limit), object)
+
+
+def aggregate(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, bars: list) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+    """For each query its place, the ids and scores of the block's best k that reach its bar, and the share of the lists read.
+
+    ``vectors`` and ``queries`` are whole numbers of one kind; a query's bar is
+    its k-th best score so far, or None.  Queries that find nothing are left out.
+    """
     n = len(vectors)
-    v = vectors.astype(np.float64)  # whole numbers whose sums of products stay exact
-    up = np.sort(v, axis=0)  # a component's list, read upwards or downwards
-    p, m = np.maximum(queries, 0).astype(np.float64), np.maximum(-queries, 0).astype(np.float64)
+    order = np.sort(vectors, axis=0)  # a component's list, read upwards or downwards
+    p, m = np.maximum(queries, 0), np.maximum(-queries, 0)
     own = ids[:, None] == query_ids[None, :]
-    waiting = np.arange(len(queries))
-    for step in range(1, STEPS + 1):
-        depth = -(-n * step // STEPS)
-        high, low = up[n - depth], up[depth - 1]  # the last values read from the top and from the bottom
-        pt, mt = p[waiting].T, m[waiting].T
-        # a component not read from the top is at most high, one not read from the bottom at least low
-        upper = np.maximum(v, high) @ pt - np.minimum(v, low) @ mt
-        lower = np.where(v >= high, v, up[0]) @ pt - np.where(v <= low, v, up[-1]) @ mt
-        hidden = own[:, waiting]
-        lower[hidden] = upper[hidden] = -np.inf
-        bar = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(waiting), -np.inf)
-        left = (upper >= bar) & ~hidden
-        done = (left.sum(axis=0) <= LEFT * k) | (depth >= n)
-        for i in np.flatnonzero(done):
-            q = waiting[i]
-            c = np.flatnonzero(left[:, i])
-            score = vectors[c].astype(np.int64) @ queries[q].astype(np.int64)
-            best = np.lexsort((ids[c], -score))[:k]
-            yield int(q), ids[c][best], score[best]
-        waiting = waiting[~done]
-        if not len(waiting):
-            return
+    waiting = list(range(len(queries)))
+    if vectors.dtype == object:
+        reach = [math.inf] * len(queries)
+    else:
+        squares = [np.einsum("ij,ij->i", a, a) for a in (vectors.astype(float), queries.astype(float))]
+        reach = 1.0000001 * np.sqrt(squares[0].max(initial=0.0)) * np.sqrt(squares[1])
+
+    last = 0
+    for share in DEPTHS:
+        depth = math.ceil(n * share)
+        if depth <= last or depth >= n or not waiting:
+            continue
+        last = depth
+        high, low = order[n - depth], order[depth - 1]  # the last values read from the top and from the bottom
+        outside = dict(zip(waiting, p[waiting] @ high - m[waiting] @ low, strict=True))  # no vector that no list has shown scores more
+        # without a bar, bounds are looked at once the lengths allow that some lower bound is above the outsiders
+        near = [q for q in waiting if outside[q] < (reach[q] if bars[q] is None else bars[q])]
+        if not near:
+            continue
+        above, below = vectors >= high, vectors <= low
+        pt, mt = p[near].T, m[near].T
+        upper = np.where(above, vectors, high) @ pt - np.where(below, vectors, low) @ mt
+        shown = above.astype(np.float32) @ (pt > 0).astype(np.float32) + below.astype(np.float32) @ (mt > 0).astype(np.float32) > 0
+        shown &= ~own[:, near]
+        fresh = [i for i, q in enumerate(near) if bars[q] is None]
+        lower = np.where(above, vectors, order[0]) @ pt[:, fresh] - np.where(below, vectors, order[-1]) @ mt[:, fresh] if fresh else None
+        bar = [bars[q] for q in near]
+        for j, i in enumerate(fresh):
+            seen = lower[shown[:, i], j]
+            if len(seen) >= k:
+                bar[i] = np.partition(seen, len(seen) - k)[len(seen) - k]
+        done = [i for i, q in enumerate(near) if bar[i] is not None and outside[q] < bar[i]]
+        left = shown[:, done] & reaching(upper[:, done], [bar[i] for i in done])
+        for j in np.flatnonzero(left.any(axis=0)):
+            q, rows = near[done[j]], np.flatnonzero(left[:, j])
+            yield (q, *top(ids[rows], vectors[rows] @ queries[q], k), depth / n)
+        stopped = {near[i] for i in done}
+        waiting = [q for q in waiting if q not in stopped]
+    if not waiting:
+        return
+    score = vectors @ queries[waiting].T
+    hits = ~own[:, waiting]
+    known = [i for i, q in enumerate(waiting) if bars[q] is not None]
+    hits[:, known] &= reaching(score[:, known], [bars[waiting[i]] for i in known])
+    for i in np.flatnonzero(hits.any(axis=0)):
+        rows = np.flatnonzero(hits[:, i])
+        yield (waiting[i], *top(ids[rows], score[rows, i], k), 1.0)
+
+
+def reaching(values: np.ndarray, bars: list) -> np.ndarray:
+    """Which values reach the bar of their column; bars may be beyond the values' kind."""
+    if values.dtype == np.int64:
+        bars = [max(-LARGEST, min(LARGEST, int(x))) for x in bars]
+    return (values >= np.array(bars, values.dtype)).astype(bool)
+
+
+def top(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids and scores, ties to the smaller id."""
+    if len(score) > 4 * k:
+        rows = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+        ids, score = ids[rows], score[rows]
+    order = np.array(sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
+    return ids[order], score[order]
+
+
+class Best:
+    """The best k of each query of a block so far."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids, x, k
+        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]
+
+    def read(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Takes in a block of vectors."""
+        width = max(self.x.shape[1], vectors.shape[1])
+        for rows, v in kinds(_padded(vectors, width)):
+            for asked, q in kinds(_padded(self.x, width)):
+                kind = exact_kind(v, q)
+                bars = [-self.found[i][-1][0] if len(self.found[i]) == self.k else None for i in asked]
+                for i, a, s, _ in aggregate(whole(v, kind), ids[rows], whole(q, kind), self.ids[asked], self.k, bars):
+                    if len(a):
+                        held = self.found[asked[i]]
+                        held.extend((-int(x), int(y)) for x, y in zip(s.tolist(), a.tolist(), strict=True))
+                        held.sort()
+                        del held[self.k :]
+
+    def rows(self) -> pa.RecordBatch:
+        q = [int(i) for i, f in zip(self.ids, self.found, strict=True) for _ in f]
+        ids = [y for f in self.found for _, y in f]
+        # the place keeps the order of scores that 64 bits cannot hold
+        score = [max(-LARGEST - 1, min(LARGEST, -x)) for f in self.found for x, _ in f]
+        text = [str(-x) for f in self.found for x, _ in f]
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64()), pa.array([None if -LARGEST < s < LARGEST else t for s, t in zip(score, text, strict=True)], pa.string())], names=["query_id", "vec_id", "score", "beyond"])
 
 
 def search(df: DataFrame, query: Column, id_column: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
     """For every row where ``query`` holds, the k other rows of highest score: query_id, rank, vec_id, score."""
     rows = df.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"), query.alias("q"))
     asked = rows.where("q").select("id", "v")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = asked.count()
-    blocks = max(1, -(-n // QUERIES))
-    # query blocks are numbered by partition, so a pair's key is known without a look at the data
-    left = packed(asked.repartition(blocks), 2 * QUERIES).select(F.col("block").alias("qb"), F.shiftright("block", 32).alias("part"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    right = packed(rows.select("id", "v"), VECTORS)
-    salts = 64
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = right.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = right.join(left, ["part", "salt"]).select("q_dim", "q_ids", "q_data", "dim", "ids", "data", "qb")
+    groups = max(1, -(-n // HELD))
+    rooms = max(1, parts // groups)
+    # queries first in each room, by their number
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups))
+    left = packed(asked.repartition(groups, own), QUERIES).withColumn("group", F.shiftright("block", 32)).withColumn("room", F.explode(F.sequence(F.lit(0), F.lit(rooms - 1))))
+    right = packed(rows.select("id", "v"), VECTORS).withColumn("room", F.pmod(F.xxhash64("block"), F.lit(rooms)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    columns = ["group", "room", "side", "block", "dim", "ids", "data"]
+    both = left.withColumn("side", F.lit(0)).select(*columns).unionByName(right.withColumn("side", F.lit(1)).select(*columns))
+    both = both.repartition(groups * rooms, "group", "room").sortWithinPartitions("group", "room", "side", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-
-        def out(b: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            q, ids, score = b
-            keep = score > NONE
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(q, keep.sum(axis=1))), pa.array(ids[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
-
+        now, asked = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                qid, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q = np.frombuffer(r["q_data"], np.int32).reshape(len(qid), r["q_dim"])
-                x = np.frombuffer(r["data"], np.int32).reshape(len(ids), r["dim"])
-                width = max(q.shape[1], x.shape[1])
-                q, x = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (q, x))
-                if r["qb"] not in best:
-                    if len(best) >= 16:
-                        yield out(best.pop(next(iter(best))))
-                    best[r["qb"]] = (qid, np.zeros((len(qid), k), np.int64), np.full((len(qid), k), NONE))
-                _, top, score = best[r["qb"]]
-                for i, a, s in aggregate(x, ids, q, qid, k):
-                    a, s = np.concatenate([top[i], a]), np.concatenate([score[i], s])
-                    order = np.lexsort((a, -s))[:k]
-                    top[i], score[i] = a[order], s[order]
-        for b in best.values():
-            yield out(b)
-
-    found = pairs.mapInArrow(run, FOUND)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                if (r["group"], r["room"]) != now:
+                    for b in asked:
+                        yield b.rows()
+                    now, asked = (r["group"], r["room"]), []
+                ids, x = _unpacked(r["dim"], r["ids"], r["data"])
+                if r["side"] == 0:
+                    asked.append(Best(ids, x, k))
+                else:
+                    for b in asked:
+                        b.read(ids, x)
+        for b in asked:
+            yield b.rows()
+
+    found = both.mapInArrow(run, FOUND + ", beyond string")
+    # of scores beyond 64 bits, longer ones are further off, and of equal length the texts compare
+    far = F.length("beyond") * F.signum("score")
+    digits = F.when(F.col("score") > 0, F.col("beyond"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), far.desc_nulls_last(), digits.desc_nulls_last(), F.when(F.col("score") < 0, F.col("beyond")).asc_nulls_last(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -179,14 +295,13 @@ SQL = """
 with v as (
   select vec_id, [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] as c
   from embeddings
-  where vec_id is not null and len(embedding) > 0
+  where vec_id is not null and embedding is not null
     and len([x for x in embedding if x is null or not isfinite(x)]) = 0
-), p as (select vec_id, c, unnest(range(1, len(c) + 1)) as i from v),
-e as (select vec_id, i, c[i] as x from p),
+),
 s as (
-  select q.vec_id as query_id, e.vec_id, cast(sum(q.x * e.x) as bigint) as score
-  from e join e as q on q.i = e.i and q.vec_id % 100 = 0 and q.vec_id <> e.vec_id
-  group by 1, 2
+  select q.vec_id as query_id, e.vec_id,
+    cast(coalesce(list_sum([q.c[i] * e.c[i] for i in range(1, cast(least(len(q.c), len(e.c)) as bigint) + 1)]), 0) as bigint) as score
+  from v as e join v as q on q.vec_id % 100 = 0 and q.vec_id <> e.vec_id
 ), r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
 select * from r where rank <= 10
 """

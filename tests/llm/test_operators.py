@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -95,21 +96,58 @@ def test_topk(spark, sf):
     odd = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     got = [tuple(r) for r in topk.digest(odd).orderBy("query_id", "rank").collect()]
     s = 1024 * 1024
-    assert got == [(0, 1, 5, 5 * s), (0, 2, 5, 5 * s), (0, 3, 100, s), (100, 1, 0, s), (100, 2, 5, s), (100, 3, 5, s)]
+    assert got[:4] == [(0, 1, 5, 5 * s), (0, 2, 5, 5 * s), (0, 3, 100, s), (0, 4, 400, 0)]
+    assert got[4:] == [(100, 1, 0, s), (100, 2, 5, s), (100, 3, 5, s), (100, 4, 400, 0), (400, 1, 0, 0), (400, 2, 5, 0), (400, 3, 5, 0), (400, 4, 100, 0)]
     assert topk.digest(empty(e)).count() == 0
 
 
+def best_of(x, q, k):
+    """The exact scores of all rows but q, best first."""
+    x = [[math.floor(Fraction(v) * 1024) for v in r] for r in x]
+    s = {i: sum(a * b for a, b in zip(x[q], r)) for i, r in enumerate(x) if i != q}
+    return [(i, s[i]) for i in sorted(s, key=lambda i: (-s[i], i))[:k]]
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.01, 1e5, 1e8, 1e200])
+def test_topk_scores_are_exact(spark, monkeypatch, scale):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 6)) * scale
+    x[::7] = rng.normal(size=x[::7].shape)  # a mixture of magnitudes
+    x[5], x[50] = 1e5, -1e308
+    monkeypatch.setattr(topk, "VECTORS", 16)
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(120)], "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 20 == 0, k=5).collect()}
+    for q in range(0, 120, 20):
+        want = [(i, max(-(2**63), min(2**63 - 1, s))) for i, s in best_of(x.tolist(), q, 5)]
+        assert [got[q, r + 1] for r in range(5)] == want
+
+
+def test_topk_stops_early_on_skewed_vectors():
+    """Few components carry the scores: half of the lists is not read, with and without a bar."""
+    rng = np.random.default_rng(9)
+    x = np.floor(1024 * rng.pareto(2.0, size=(4000, 4)) * [30, 5, 1, 1])
+    q = x[:50]
+    for bars in ([None] * 50, [sorted(x @ v)[-20] for v in q]):
+        depth = []
+        for i, ids, score, d in topk.aggregate(x, np.arange(4000), q, np.arange(50), 10, list(bars)):
+            s = x @ q[i]
+            s[i] = -1
+            assert score.tolist() == sorted(s.tolist(), reverse=True)[:10]
+            depth.append(d)
+        assert len(depth) == 50 and np.mean(depth) < 0.5
+
+
 def test_topk_blocks_and_ties(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = rng.integers(-3, 4, size=(300, 5)).astype(float)
     monkeypatch.setattr(topk, "VECTORS", 32)
     monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "HELD", 3)
     df = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)], "vec_id long, embedding array<double>").repartition(3)
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 50 == 0, k=4).collect()}
+    assert len(got) == 24
     for q in range(0, 300, 50):
-        s = ((1024 * x) @ (1024 * x[q])).astype(int)
-        best = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:4]
-        assert [got[q, r + 1] for r in range(4)] == [(i, s[i]) for i in best]
+        assert [got[q, r + 1] for r in range(4)] == best_of(x.tolist(), q, 4)
 
 
 def jaccard(rows, rule):
