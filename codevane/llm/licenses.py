@@ -4,7 +4,9 @@ Every rolling run of ``K`` words of a document is joined by its hash to the
 places where license templates have it.  A hit at document word i and template
 word j votes for the diagonal i - j.  A template that stands in a document
 gives its votes to one diagonal, or, after small edits, to a few close ones;
-close diagonals of a template are merged and their votes counted together.
+diagonals up to GAP apart are merged into a placement and their votes counted
+together.  A placement thus covers at most the template's length and GAP words
+more, however many diagonals stand next to each other.
 
 A placement with enough votes is then verified.  Only votes that stand in the
 same order in document and template count for its score.  Where the text of
@@ -13,8 +15,10 @@ words that tell the two apart; a number stands for any number, as versions
 differ.  Of templates on the same words the one with the best score stays.
 
 The join compares the words of a hit as well as the hash, so votes are exact.
-All steps are DataFrame operations.  The templates are a fixed table of a few
-hundred rows, hence broadcast; votes are summed before they are shuffled.
+Hashes that no template has are left out before rows are made of the others,
+and a row holds its own words only, so the cost grows with the length of a
+text.  All steps are DataFrame operations.  The templates are a fixed table of
+a few hundred rows, hence broadcast; votes are summed before they are shuffled.
 
 Defined results: a null or empty text has no words and no labels; rows that
 repeat a doc_id with the same text are counted together and returned once for
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K = 3
-#: Diagonals of one template this close to each other are one placement.
+#: Diagonals of one template at most this far apart are one placement.
 GAP = 8
 #: Share of a template's word runs that a placement needs.
 THRESHOLD = 0.6
@@ -80,11 +84,15 @@ def telling(w: list[str], others: list[list[str]]) -> str | None:
     return "".join(f"(?=.*{x})" for x in sorted(found)) or None
 
 
+def _split(text: str) -> list[str]:
+    return "".join(c.lower() if c.isalnum() and c.isascii() else " " for c in text).split()
+
+
 def grams(spark: SparkSession) -> DataFrame:
     """Every K-gram place of every template: (template, label, base, own, j, total, hash, a, b, c)."""
     rows = []
     texts = [(label, text, True) for label, text in PHRASES.items()] + [(label, text, False) for label, text in TEMPLATES.items()]
-    split = ["".join(c.lower() if c.isalnum() and c.isascii() else " " for c in text).split() for _, text, _ in texts]
+    split = [_split(text) for _, text, _ in texts]
     for t, ((label, _, base), w) in enumerate(zip(texts, split, strict=True)):
         own = None if base else telling(w, [v for v, (_, _, phrase) in zip(split, texts, strict=True) if v is not w and not phrase])
         rows += [(t, label, base, own, j, len(w) - K + 1, *w[j : j + K]) for j in range(len(w) - K + 1)]
@@ -99,20 +107,34 @@ def votes(df: DataFrame) -> DataFrame:
     votes (the template's places that voted), told (the words that tell the
     template from others are there) and rows.
     """
-    spark = df.sparkSession
-    w = P + "w"
+    table = grams(df.sparkSession)
+    rows = table.select("hash", "own", "total").collect()
+    # a fixed table's hashes, and those of templates whose neighbourhood is looked at
+    known, around = {r["hash"] for r in rows}, {r["hash"] for r in rows if r["own"] is not None}
+    reach = max((r["total"] + K for r in rows if r["own"] is not None), default=0)
+    w, hit = P + "w", P + "hit"
     docs = df.select("doc_id", F.xxhash64("text").alias(P + "key"), words(F.coalesce("text", F.lit(""))).alias(w))
     docs = docs.withColumn(P + "n", F.size(w))
-    # the last place is not a run of words; it keeps texts without any hit
-    places = F.transform(F.sequence(F.lit(0), F.greatest(F.col(P + "n") - K + 1, F.lit(0))), lambda i: F.struct(i.alias("i"), F.when(i + K <= F.size(w), F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))).alias("hash")))
-    runs = docs.select("doc_id", P + "key", P + "n", w, F.explode(places).alias(P + "g"))
-    runs = runs.select("doc_id", P + "key", P + "n", w, F.col(P + "g.i").alias(P + "i"), F.col(P + "g.hash").alias(P + "hash"))
-    t = F.broadcast(grams(spark))
+
+    def run(i: Column) -> Column:
+        return F.struct(i.alias("i"), F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("hash"))
+
+    def enriched(p: Column) -> Column:
+        near = F.when(p.hash.isin(around), F.slice(w, F.greatest(p.i - reach, F.lit(0)) + 1, F.lit(2 * reach + K)))
+        return F.struct(p.i.alias("i"), p.hash.alias("hash"), F.get(w, p.i).alias("x"), F.get(w, p.i + 1).alias("y"), F.get(w, p.i + 2).alias("z"), near.alias("near"))
+
+    places = F.when(F.col(P + "n") >= K, F.sequence(F.lit(0), F.col(P + "n") - K)).otherwise(F.expr("cast(array() as array<int>)"))
+    found = F.transform(F.filter(F.transform(places, run), lambda p: p.hash.isin(known)), enriched)
+    docs = docs.withColumn(P + "hits", found).drop(w)
+    # the null keeps texts without any hit, and counts every text once
+    hits = docs.select("doc_id", P + "key", P + "n", F.explode(F.concat(P + "hits", F.array(F.lit(None)))).alias(hit))
+    hits = hits.select("doc_id", P + "key", P + "n", *[F.col(f"{hit}.{c}").alias(P + c) for c in ("i", "hash", "x", "y", "z", "near")])
+    same = (F.col(P + "hash") == F.col("hash")) & (F.col(P + "x") == F.col("a")) & (F.col(P + "y") == F.col("b")) & (F.col(P + "z") == F.col("c"))
+    hits = hits.join(F.broadcast(table), same, "left").where(F.col("template").isNotNull() | F.col(P + "hash").isNull())
     i = F.col(P + "i")
-    same = (F.col(P + "hash") == F.col("hash")) & (F.get(w, i) == F.col("a")) & (F.get(w, i + 1) == F.col("b")) & (F.get(w, i + 2) == F.col("c"))
-    hits = runs.join(t, same, "left").where(F.col("template").isNotNull() | F.col(P + "hash").isNull())
     diagonal = i - F.col("j")
-    span = F.array_join(F.slice(w, F.greatest(diagonal, F.lit(0)) + 1, F.col("total") + K - 1), "")
+    first = F.greatest(diagonal, F.lit(0)) - F.greatest(i - reach, F.lit(0))
+    span = F.array_join(F.slice(P + "near", first + 1, F.col("total") + K - 1), "")
     told = F.when(F.col("own").isNull(), True).otherwise(F.regexp_like(span, F.col("own")))
     hits = hits.select("doc_id", P + "key", P + "n", "template", "label", "base", "total", "j", diagonal.alias("diagonal"), told.alias("told"))
     return hits.groupBy("doc_id", P + "key", P + "n", "template", "label", "base", "total", "diagonal").agg(F.collect_set("j").alias("votes"), F.max("told").alias("told"), F.count(F.lit(1)).alias(P + "rows"))
@@ -133,18 +155,18 @@ def ordered(pairs: Column, total: Column) -> Column:
     return F.aggregate(in_order, F.array_repeat(none, total), step, F.array_max)
 
 
-def best(spots: Column) -> Column:
-    """Verified spots without those that have half of the shorter span in common with a better one of another template."""
+def beaten(spot: Column, near: Column) -> Column:
+    """Whether a verified spot has half of the shorter span in common with a better one near it.
 
-    def beaten(kept: Column, x: Column) -> Column:
-        def over(y: Column) -> Column:
-            shared = F.least(x.end, y.end) - F.greatest(x.start, y.start)
-            return (y.label != x.label) & (y.score > x.score) & (2 * shared >= F.least(x.end - x.start, y.end - y.start))
+    Of spots of one label and score the first is the better one.
+    """
 
-        return F.exists(kept, over)
+    def by(y: Column) -> Column:
+        shared = F.least(spot.end, y.end) - F.greatest(spot.start, y.start)
+        first = (y.score == spot.score) & (y.label == spot.label) & ((y.start < spot.start) | (y.start == spot.start) & (y.place < spot.place))
+        return ((y.score > spot.score) | first) & (2 * shared >= F.least(spot.end - spot.start, y.end - y.start))
 
-    falling = F.transform(F.array_sort(F.transform(spots, lambda x: F.struct((-x.score).alias("key"), x.alias("x")))), lambda s: s.x)
-    return F.aggregate(falling, F.filter(spots, lambda x: F.lit(False)), lambda kept, x: F.when(beaten(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    return F.exists(near, by)
 
 
 def scan(df: DataFrame) -> DataFrame:
@@ -156,25 +178,29 @@ def scan(df: DataFrame) -> DataFrame:
     """
     v = votes(df)
     text = ["doc_id", P + "key", P + "n"]
-    # votes of neighbouring diagonals of a template meet in one placement
-    w = Window.partitionBy(*text, "template").orderBy("diagonal")
-    fresh = F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(w) <= GAP), 0).otherwise(1)
-    fresh = F.when(F.col("base"), 1).otherwise(fresh)
-    v = v.withColumn(P + "part", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    v = v.withColumn(P + "pairs", F.transform("votes", lambda j: F.struct((F.col("diagonal") + j).alias("i"), j.alias("j"))))
-    spot = v.groupBy(*text, "template", "label", "base", "total", P + "part").agg(F.flatten(F.collect_list(P + "pairs")).alias(P + "pairs"), F.max("told").alias("told"), F.sum(P + "rows").alias(P + "rows"))
+    # a placement is a diagonal and those up to GAP after it; a phrase stands on one
+    wide = Window.partitionBy(*text, "template").orderBy("diagonal").rangeBetween(0, GAP)
+    pairs = F.transform("votes", lambda j: F.struct((F.col("diagonal") + j).alias("i"), j.alias("j")))
+    v = v.withColumn(P + "own", F.when(F.col("template").isNotNull(), pairs))
+    v = v.withColumn(P + "pairs", F.when(F.col("base"), F.col(P + "own")).otherwise(F.flatten(F.collect_list(P + "own").over(wide))))
+    v = v.withColumn(P + "told", F.max("told").over(wide))
+    voted = F.size(F.array_distinct(F.transform(P + "pairs", lambda p: p.j)))
+    enough = F.when(F.col("base"), voted == F.col("total")).otherwise(F.col(P + "told") & (voted >= THRESHOLD * F.col("total")))
+    spot = v.withColumn(P + "row", F.when(enough, ordered(F.col(P + "pairs"), F.col("total"))))
     # the rows without a template count the copies of a text
     copies = F.sum(F.when(F.col("template").isNull(), F.col(P + "rows")))
-    voted = F.size(F.array_distinct(F.transform(P + "pairs", lambda p: p.j)))
-    enough = F.when(F.col("base"), voted == F.col("total")).otherwise(F.col("told") & (voted >= THRESHOLD * F.col("total")))
-    spot = spot.withColumn(P + "row", F.when(enough, ordered(F.col(P + "pairs"), F.col("total"))))
     row = F.col(P + "row")
-    one = F.struct("label", "base", row["first"].cast("long").alias("start"), (row["last"] + K).cast("long").alias("end"), (row["n"] / F.col("total")).alias("score"))
-    docs = spot.groupBy(*text).agg(copies.alias("copies"), F.collect_list(F.when(row.isNotNull(), one)).alias(P + "all"))
-    phrases = F.filter(P + "all", lambda x: x.base)
-    texts = F.filter(P + "all", lambda x: ~x.base & (x.score >= THRESHOLD))
-    found = F.concat(phrases, best(texts))
-    return docs.select("doc_id", F.col(P + "n").cast("long").alias("n_words"), "copies", F.array_sort(found).alias("found"))
+    score = row["n"] / F.col("total")
+    one = F.struct("label", "base", row["first"].cast("long").alias("start"), (row["last"] + K).cast("long").alias("end"), score.alias("score"), F.col("diagonal").alias("place"))
+    spot = spot.withColumn(P + "spot", F.when(row.isNotNull() & (F.col("base") | (score >= THRESHOLD)), one))
+    # spots further apart than the longest template have nothing in common
+    longest = max(len(_split(text)) for text in TEMPLATES.values()) + GAP + K
+    close = Window.partitionBy(*text).orderBy(P + "spot.start").rangeBetween(-longest, longest)
+    spot = spot.withColumn(P + "near", F.collect_list(F.when(~F.col("base"), F.col(P + "spot"))).over(close))
+    s = F.col(P + "spot")
+    kept = F.when(F.col("base") | ~beaten(s, F.col(P + "near")), F.struct(*[s[c].alias(c) for c in ("label", "base", "start", "end", "score")]))
+    docs = spot.groupBy(*text).agg(copies.alias("copies"), F.collect_list(F.when(s.isNotNull(), kept)).alias("found"))
+    return docs.select("doc_id", F.col(P + "n").cast("long").alias("n_words"), "copies", F.array_sort("found").alias("found"))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -394,12 +395,27 @@ def test_license_spans_are_verified(spark):
         # each part of 5 words votes, but their order is the template's backwards
         " ".join(" ".join(mit[i : i + 5]) for i in range(45, -1, -5)): "",
         " ".join([*mit[:20], "indeed", *mit[20:]]): "mit",
+        # every run of 3 words, backwards or in order, with words between
+        " ".join(" ".join([*mit[i : i + 3], "a", "b", "c", "d"]) for i in range(len(mit) - 3, -1, -1)): "",
+        " ".join(" ".join([*mit[i : i + 3], "a", "b", "c", "d"]) for i in range(len(mit) - 2)): "",
+        " ".join(["so", *mit[:15], *"one two three four".split(), *mit[15:30], "five", *mit[30:], "end"]): "mit",
     }
     df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.digest(df).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
 
 
+def test_licenses_of_a_very_long_text(spark):
+    """A text of many licenses takes seconds, and each stands at its place."""
+    cc = "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. "
+    df = spark.createDataFrame([(1, cc * 15_000), (2, "some plain words " * 70_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert [(x.label, x.start) for x in got[1].found[:3]] == [("cc-by-nc", 0), ("cc-by-nc", 14), ("cc-by-nc", 28)] and len(got[1].found) == 15_000
+    assert got[2].n_words == 210_000 and not got[2].found
+
+
 def test_quality(spark, sf, docs):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
 
