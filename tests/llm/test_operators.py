@@ -78,15 +78,57 @@ def test_pii(spark, docs):
 
 
 def test_pii_own_kinds_and_mask(spark):
-    rows = [(1, "pay DE89 3704 0044 0532 0130 00 now"), (2, "DE89 3704 0044 0532 0130 01"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789"), (5, None), (6, "a@b.cd and 1.2.3.4")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("mine"))
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    want = {
+        "pay DE89 3704 0044 0532 0130 00 now": ("iban:4:31", "pay <iban> now"),
+        "DE89 3704 0044 0532 0130 01": ("", None),
+        "BE68 5390 0754 7034 PAID": ("iban:0:19", "<iban> PAID"),
+        "BE68539007547034, 12": ("iban:0:16", "<iban>, 12"),
+        "BE68 5390 0754 7034PAID": ("", None),
+        "NO93 8601 1117 947 IS MINE": ("iban:0:18", "<iban> IS MINE"),
+        "ssn 123-45-6789": ("ssn:4:15", "ssn <ssn>"),
+        "part 123-45-6789": ("", None),
+        None: ("", None),
+        "a@b.cd and 1.2.3.4": ("email:0:6,ip:11:18", "<email> and <ip>"),
+        f'token = "{key}" and': ("secret:9:49", 'token = "<secret>" and'),
+        f"API_KEY: {key.upper()}": ("secret:9:49", "API_KEY: <secret>"),
+        f"commit {key} and then": ("", None),
+        "token = counterrevolutionaries": ("", None),
+        "password=Zm9vYmFyYmF6cXV4MTIzNA==;": ("secret:9:33", "password=<secret>;"),
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string").withColumn("spans", F.lit("mine"))
     spans = {r.doc_id: r.spans for r in pii.digest(df).collect()}
-    assert spans == {1: "iban:4:31", 2: "", 3: "ssn:4:15", 4: "", 5: "", 6: "email:0:6,ip:11:18"}
     masked = {r.doc_id: r.text for r in pii.mask(df).collect()}
-    assert masked[1] == "pay <iban> now" and masked[5] is None and masked[6] == "<email> and <ip>"
+    for i, (text, (s, m)) in enumerate(want.items()):
+        assert (spans[i], masked[i]) == (s, text if m is None else m), text
     assert pii.mask(df).columns == df.columns
 
 
+def test_pii_mask_of_long_and_overlapping_texts(spark):
+    """Against a plain pass over the spans, with texts of several parts and characters beyond the first plane."""
+    rnd = random.Random(4)
+    pieces = ["a@b.cd ", "1.2.3.4 ", "+1 4111 1111 1111 1111 ", "4111111111111111 ", "😀é ", "x" * 70 + " ", "x@1.2.3.4 "]
+    texts = ["".join(rnd.choice(pieces) for _ in range(n)) for n in (1, 3, 70, 500, 4000)] + ["plain " * 3000 + "a@b.cd", "a@b.cd" + " plain" * 3000, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    for r in pii.detect(df).collect():
+        at, out = 0, []
+        for s in sorted(r.spans, key=lambda s: (s.start, -s.end)):
+            if s.start >= at:
+                out += [r.text[at : s.start], f"<{s.kind}>"]
+            at = max(at, s.end)
+        assert masked[r.doc_id] == "".join(out) + r.text[at:]
+
+
+def test_pii_of_many_matches_in_one_text(spark):
+    n = 50_000
+    df = spark.createDataFrame([(1, "".join(f"u{i}@mail.org 1.2.3.4\n" for i in range(n)))], "doc_id long, text string")
+    began = time.perf_counter()
+    r = pii.digest(df).first()
+    assert (r.n_email, r.n_ip) == (n, n) and time.perf_counter() - began < 60
+    assert pii.mask(df).first().text == "<email> <ip>\n" * n
+
+
 def test_topk(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     c = duckdb.connect()
