@@ -7,8 +7,10 @@ its share.  The law is ``rows``: shard counts differ by one at most.
 
 No window spans a whole source or the whole table.  A rank is a rank within a
 cell (a slice of the hash, or of the fractional rank) plus the cell's offset;
-offsets are running sums over one small row for each cell.  Cells follow the
-number of rows, so a source with a third of all rows is cut like any other.
+offsets are running sums over one small row for each cell, taken within spans
+of SPAN cells and then over the spans, so that no task reads all cells.  Cells
+follow the number of rows, so a source with a third of all rows is cut like any
+other.  Ranks are whole numbers and hold up to 2**47 rows of a source.
 
 Defined results: a null text has no bytes (size 1, checksum 0); a null source
 is a source of its own; repeated rows each get a place, and which of two equal
@@ -24,6 +26,19 @@ from pyspark.sql import functions as F
 P = "__shard_"
 #: Rows a cell holds on average.
 CELL_ROWS = 4096
+#: Cells of a span.
+SPAN = 4096
+
+
+def fraction(rank: Column, total: Column) -> Column:
+    """(rank + 1/2) / total in units of 2**-30, rounded down, in whole numbers; total is below 2**47."""
+    odd, all_ = 2 * rank + 1, 2 * total
+
+    def div(a: Column, b: Column) -> Column:
+        return F.call_function("div", a, b)
+
+    scaled = odd * F.lit(1 << 15)
+    return div(scaled, all_) * F.lit(1 << 15) + div((scaled % all_) * F.lit(1 << 15), all_)
 
 
 def _offsets(df: DataFrame, group: list[str], cell: str) -> DataFrame:
@@ -31,10 +46,19 @@ def _offsets(df: DataFrame, group: list[str], cell: str) -> DataFrame:
 
     The input is one row for each cell, never one for each document.
     """
-    counts = df.groupBy(*group, cell).agg(F.count(F.lit(1)).alias(P + "n"))
+    counts = df.groupBy(*group, cell).agg(F.count(F.lit(1)).alias(P + "n")).withColumn(P + "span", F.floor(F.col(cell) / SPAN))
+    names = [F.col(g).alias(P + "s_" + g) for g in group]
+    spans = counts.groupBy(*group, P + "span").agg(F.sum(P + "n").alias(P + "all"))
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    before = F.sum(P + "n").over(w.orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(P + "n")
-    return counts.select(*group, cell, before.alias(P + "before"), F.sum(P + "n").over(w).alias(P + "total"))
+    earlier = F.sum(P + "all").over(w.orderBy(P + "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(P + "all")
+    spans = spans.select(*names, F.col(P + "span").alias(P + "s_span"), earlier.alias(P + "earlier"), F.sum(P + "all").over(w).alias(P + "total"))
+    on = F.col(P + "span") == F.col(P + "s_span")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(P + "s_" + g))
+    own = Window.partitionBy(*group, P + "span").orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum(P + "n").over(own) - F.col(P + "n")
+    counts = counts.withColumn(P + "local", before).join(spans, on)
+    return counts.select(*group, cell, (F.col(P + "local") + F.col(P + "earlier")).alias(P + "before"), P + "total")
 
 
 def _ranked(df: DataFrame, group: list[str], cell: str, order: list[Column], out: str) -> DataFrame:
@@ -62,18 +86,16 @@ def assign(df: DataFrame, shards: int = 8, seed: int = 17, source: str = "source
     src = P + "source"
     mixed = F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in keys], F.col(f"`{source}`"))
     df = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source}`").alias(src), mixed.alias(P + "h"), F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(~seed)).alias(P + "t"))
-    top = F.shiftrightunsigned(F.col(P + "h"), 40)
+    top = F.shiftrightunsigned(F.col(P + "h"), 34)
     # ordered as an unsigned number, so that the slices of the hash are in order
-    df = df.withColumn(P + "cell", F.floor(top * cells / F.lit(1 << 24)).cast("long")).withColumn(P + "u", F.shiftrightunsigned(F.col(P + "h"), 1))
+    df = df.withColumn(P + "cell", F.call_function("div", top * cells, F.lit(1 << 30))).withColumn(P + "u", F.shiftrightunsigned(F.col(P + "h"), 1))
     df = _ranked(df, [src], P + "cell", [F.col(P + "u"), F.col(P + "t")], P + "rank").drop(P + "cell")
-    # (rank + 1/2) / total, in whole numbers so that equal fractions stay equal
-    frac = F.floor((2 * F.col(P + "rank") + 1) * F.lit(1 << 30) / (2 * F.col(P + "total"))).cast("long")
-    df = df.withColumn(P + "frac", frac).drop(P + "total")
-    df = df.withColumn(P + "cell", F.floor(F.col(P + "frac") * cells / F.lit(1 << 30)).cast("long"))
+    df = df.withColumn(P + "frac", fraction(F.col(P + "rank"), F.col(P + "total"))).drop(P + "total")
+    df = df.withColumn(P + "cell", F.call_function("div", F.col(P + "frac") * cells, F.lit(1 << 30)))
     df = _ranked(df, [], P + "cell", [F.col(P + "frac"), F.xxhash64(F.lit(seed), src), F.col(src), F.col(P + "rank")], P + "place")
     # shard s holds places ceil(s * rows / shards) up to the next such bound
-    shard = F.floor(F.col(P + "place") * shards / F.col(P + "total")).cast("int")
-    first = F.ceil(F.col("shard") * F.col(P + "total") / F.lit(shards)).cast("long")
+    shard = F.call_function("div", F.col(P + "place") * shards, F.col(P + "total")).cast("int")
+    first = F.call_function("div", F.col("shard") * F.col(P + "total") + (shards - 1), F.lit(shards))
     df = df.withColumn("shard", shard).withColumn("slot", F.col(P + "place") - first)
     return df.select(*[F.col(f"`{c}`") for c in names], "shard", "slot")
 
