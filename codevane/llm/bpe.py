@@ -42,6 +42,8 @@ from codevane.llm import store, wordhash
 
 #: Words compiled into the automaton: the most frequent chunks of the corpus.
 LEXICON_WORDS = 1 << 16
+#: Counts below this are a level each; above, 32 levels a doubling.
+EVEN = 1024
 #: A longer chunk is never compiled.
 LEXICON_BYTES = 64
 #: Distinct chunks and pieces a worker remembers between batches, and the bytes of its chunks.
@@ -272,7 +274,12 @@ def folded(chunk: bytes) -> bytes:
 
 
 def frequent(docs: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> list[bytes]:
-    """The corpus's most frequent chunks in folded form, without those that may hold special tokens; counted over every text."""
+    """The corpus's most frequent chunks in folded form, at most ``words``, without those that may hold special tokens.
+
+    Counted over every text.  Chunks go in or stay out by levels of about equal
+    counts, so nothing is sorted, and no task or driver holds more than those
+    that go in.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -296,8 +303,19 @@ def frequent(docs: DataFrame, text: str = "text", words: int = LEXICON_WORDS) ->
                     seen.clear()
         yield out()
 
-    counts = docs.select(text).mapInArrow(store.frugal(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return [bytes(w) for w in counts.orderBy(F.desc("n"), "word").limit(words).select("word").toArrow().column(0).to_pylist()]
+    counts = store.written(docs.select(text).mapInArrow(store.frugal(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    # how many chunks are about as frequent, from frequent to rare: a few thousand numbers at most
+    level = F.when(F.col("n") < EVEN, F.col("n")).otherwise(EVEN + F.floor(F.log2(F.col("n") / EVEN) * 32)).cast("long")
+    sizes = counts.groupBy(level.alias("level")).count().collect()
+    total, least = 0, None
+    for r in sorted(sizes, reverse=True):
+        total += r["count"]
+        if total > words:
+            break
+        least = r["level"]
+    got = [] if least is None else counts.where(level >= least).select("word").toArrow().column(0).to_pylist()
+    store.drop(counts)
+    return [bytes(w) for w in got]
 
 
 def _broken(data: np.ndarray, off: np.ndarray) -> bool:

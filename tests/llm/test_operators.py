@@ -401,6 +401,20 @@ def test_sharding(docs):
     assert sorted((r.shard, r.slot) for r in few) and len(few) == 3
 
 
+def test_ranks_of_large_sources_do_not_overflow(spark):
+    rnd = random.Random(2)
+    rows = [(r, t) for t in (1, 3, 2**32 + 7, 2**40 + 1, 2**46 - 3) for r in (0, t // 3, t // 2, t - 1, rnd.randrange(t))]
+    df = spark.createDataFrame(rows, "r long, t long")
+    for r, t, f in df.select("r", "t", sharding.fraction(F.col("r"), F.col("t"))).collect():
+        assert f == (2 * r + 1) * 2**30 // (2 * t)
+
+
+def test_sharding_in_many_cells(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 2)
+    monkeypatch.setattr(sharding, "SPAN", 3)
+    test_sharding(docs)
+
+
 def test_licenses(spark, docs):
     more = ["Under the MIT License. under the mit license, CC BY NC! cc by nc by nc; Apache License, Version 2.0", licenses.TEMPLATES["bsd"].replace("source and", "src and"), "É under\x80the mit license", "a b"]
     df = docs.select("doc_id", "text", "label").unionByName(spark.createDataFrame([(2 * 10**6 + i, t, "") for i, t in enumerate([*more, "a b"])], "doc_id long, text string, label string"))
@@ -529,6 +543,14 @@ def test_bpe(spark, docs):
     assert bpe.digest(empty(docs), path).count() == 0
 
 
+def test_the_lexicon_holds_the_most_frequent_words(spark):
+    texts = [f"w{i} " * (400 - i) for i in range(400)] + ["top " * 5000, "once", "a<|b " * 900]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert sorted(bpe.frequent(df, words=100)) == sorted([b"top", *(b"w%d" % i for i in range(99))])
+    assert len(bpe.frequent(df)) == 400 and bpe.frequent(df, words=0) == []
+    assert bpe.frequent(df.where("false")) == []
+
+
 def test_transducer():
     rnd = random.Random(9)
     lexicon = {bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 8))): [rnd.randrange(100) for _ in range(rnd.randrange(4))] for _ in range(300)}
