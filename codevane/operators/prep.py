@@ -45,21 +45,52 @@ def window(df: DataFrame, order: str, start: int, limit: int) -> DataFrame:
     return df.orderBy(order).offset(start).limit(limit)
 
 
-def triplets(candidates: DataFrame, queries: DataFrame, passages: DataFrame, negatives: int = 2, seed: int = 42) -> DataFrame:
+def triplets(candidates: DataFrame, queries: DataFrame, passages: DataFrame, negatives: int = 2, seed: int = 42, strict: bool = True) -> DataFrame:
     """(qid, query, positive, negatives) of rows (qid, pos, neg), both arrays of ids.
 
     One positive and ``negatives`` negatives are drawn by the md5 of seed, query
     and id.  Ids are looked up by joins; each negative stays a text of its own.
+    A drawn id without a text is an error, and so is a query without one; with
+    ``strict`` off, such a negative is left out and such a positive or query
+    takes its row along.  Queries without any positive have no row.
     """
 
     def draw(ids: str, n: int):
         keyed = F.transform(ids, lambda i: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("qid").cast("string"), i.cast("string"))).alias("h"), i.alias("id")))
         return F.slice(F.array_sort(keyed), 1, n)
 
-    ids = candidates.select("qid", F.posexplode(F.concat(draw("pos", 1), draw("neg", negatives))).alias("place", "drawn")).select("qid", "place", F.col("drawn.id").alias("pid"))
-    text = ids.join(passages.select("pid", "text"), "pid").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("t"))
-    texts = F.transform("t", lambda x: x.text)
-    return text.join(queries.select("qid", F.col("text").alias("query")), "qid").select("qid", "query", texts[0].alias("positive"), F.slice(texts, 2, negatives).alias("negatives"))
+    def drawn(role: str, n: int):
+        return candidates.select("qid", F.lit(role).alias("role"), F.posexplode(draw(role, n)).alias("place", "one")).select("qid", "role", "place", F.col("one.id").alias("pid"))
+
+    return looked_up(drawn("pos", 1).unionByName(drawn("neg", negatives)), queries, passages, strict)
+
+
+def drawn_pairs(pairs: DataFrame, negatives: int = 2, seed: int = 42) -> DataFrame:
+    """(qid, role, place, pid) drawn as in ``triplets`` from rows (qid, pid, role), one for each candidate.
+
+    No list of candidates is held: Spark keeps the first rows of each window only.
+    """
+    keyed = pairs.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("qid").cast("string"), F.col("pid").cast("string"))))
+    w = Window.partitionBy("qid", "role").orderBy("h", "pid")
+    places = keyed.withColumn("place", F.row_number().over(w) - 1).where(F.col("place") < max(1, negatives))
+    return places.where((F.col("role") == "neg") & (F.col("place") < negatives) | (F.col("role") == "pos") & (F.col("place") == 0)).select("qid", "role", "place", "pid")
+
+
+def looked_up(drawn: DataFrame, queries: DataFrame, passages: DataFrame, strict: bool = True) -> DataFrame:
+    """(qid, query, positive, negatives) of rows (qid, role, place, pid)."""
+    def found(name: str, mark: str, key: str):
+        """The text, or an error where a join found none; made in the columns, so that no filter takes its place."""
+        return F.when(F.col(mark).isNull(), F.raise_error(F.concat(F.lit(f"no text of {key} "), F.col(key).cast("string")))).otherwise(F.col(name)) if strict else F.col(name)
+
+    how = "left" if strict else "inner"
+    text = drawn.join(passages.select("pid", "text", F.lit(True).alias("there")), "pid", how).select("qid", "role", "place", found("text", "there", "pid").alias("text"))
+    text = text.groupBy("qid").agg(
+        F.max(F.when(F.col("role") == "pos", F.struct("text"))).alias("positive"),
+        F.array_sort(F.collect_list(F.when(F.col("role") == "neg", F.struct("place", "text")))).alias("negatives"),
+    )
+    asked = queries.select("qid", F.col("text").alias("query"), F.lit(True).alias("asked"))
+    both = text.where("positive is not null").join(asked, "qid", how)
+    return both.select("qid", found("query", "asked", "qid").alias("query"), F.col("positive.text").alias("positive"), F.transform("negatives", lambda x: x.text).alias("negatives"))
 
 
 def split(df: DataFrame, key: str, seed: int = 42, tenths: int = 1) -> DataFrame:
@@ -70,7 +101,3 @@ def split(df: DataFrame, key: str, seed: int = 42, tenths: int = 1) -> DataFrame
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in md5 order of their keys."""
     return df.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("__h", key).limit(n).drop("__h")
-
-
-def numbered(df: DataFrame, by: str, order: list, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ def unchunk(chunks: DataFrame, key: str = "id") -> DataFrame:
 
 
 def assign_sql(chunks: DataFrame, codebook: DataFrame, key: str = "id") -> DataFrame:
-    """(key, chunk_no, code): the nearest code of each chunk, the least code on a tie, by a join on all codes."""
+    """(key, chunk_no, code): the nearest code of each chunk, the least code on a tie, by a join on all codes; for small tables."""
     pairs = chunks.crossJoin(codebook.select("code", F.col("v").alias("e")))
     dist = squared_l2(F.col("v"), F.col("e"))
     return pairs.groupBy(key, "chunk_no").agg(F.min_by("code", F.struct(dist, "code")).alias("code"))
@@ -72,22 +72,39 @@ def _codes(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def assign(chunks: DataFrame, codebook: DataFrame, key: str = "id") -> DataFrame:
-    """As ``assign_sql``, by matrix products over Arrow batches while the codebook is small enough to send."""
+    """As ``assign_sql``, by matrix products over Arrow batches.
+
+    A codebook of up to SENT_VALUES numbers is sent to every task.  A larger one
+    is cut into parts of that size by its codes; each part gives every chunk its
+    nearest code and distance, and the least of these is kept.
+    """
     size = codebook.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0
     if not size:
         raise ValueError("the codebook is empty")
-    if size > SENT_VALUES:
-        return assign_sql(chunks, codebook, key)
-    held = chunks.sparkSession.sparkContext.broadcast(_codes(codebook))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, e = held.value
-        for b in batches:
-            found = names[nearest(matrix(b.column(2)), e)] if b.num_rows else names[:0]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found.astype(np.int32))], names=[key, "chunk_no", "code"])
-
     kind = dict(chunks.dtypes)[key]
-    return chunks.select(key, "chunk_no", "v").mapInArrow(run, f"`{key}` {kind}, chunk_no int, code int")
+    parts = -(-size // SENT_VALUES)
+    out = None
+    for part in range(parts):
+        some = codebook if parts == 1 else codebook.where(F.pmod(F.xxhash64("code"), F.lit(parts)) == part)
+        found = _codes(some)
+        if not len(found[0]):
+            continue
+        held = chunks.sparkSession.sparkContext.broadcast(found)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, e = held.value
+            for b in batches:
+                if b.num_rows:
+                    x = matrix(b.column(2))
+                    near = nearest(x, e)
+                    dist = ((x - e[near]) ** 2).sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[near].astype(np.int32)), pa.array(dist)], names=[key, "chunk_no", "code", "dist"])
+
+        got = chunks.select(key, "chunk_no", "v").mapInArrow(run, f"`{key}` {kind}, chunk_no int, code int, dist double")
+        out = got if out is None else out.unionByName(got)
+    if parts == 1:
+        return out.drop("dist")
+    return out.groupBy(key, "chunk_no").agg(F.min_by("code", F.struct("dist", "code")).alias("code"))
 
 
 def dequantize(codes: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -182,8 +199,9 @@ def batch_stats(chunks: DataFrame, codes: np.ndarray, sample: int = 0) -> tuple[
     for r in dims.toLocalIterator():
         n[r["code"]] = r["n"]
         sums[r["code"], r["d"]] = r["x"]
-    rows = np.array([r["v"] for r in chunks.select("v").limit(sample).collect()]) if sample else np.zeros((0, codes.shape[1]))
-    return n, sums, rows
+    # drawn from all chunks in hash order, so that they do not come from one corner of sorted data
+    drawn = chunks.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect() if sample else []
+    return n, sums, np.array([r["v"] for r in drawn]).reshape(-1, codes.shape[1])
 
 
 def fit_exact(q: Quantizer, s: State, chunks: DataFrame, order: list[str], batch: int = 512) -> State:
@@ -192,7 +210,8 @@ def fit_exact(q: Quantizer, s: State, chunks: DataFrame, order: list[str], batch
     Batch order is part of the result, so one task runs through the sorted
     rows; use ``fit_macro`` where that is too slow.
     """
-    ordered = chunks.select(*order, "v").coalesce(1).sortWithinPartitions(*order)
+    # repartition, so that only the ordered pass is one task and not the scan below it
+    ordered = chunks.select(*order, "v").repartition(1).sortWithinPartitions(*order)
     at = len(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +250,25 @@ def codebook(spark: SparkSession, s: State) -> DataFrame:
     return spark.createDataFrame(rows, "code int, v array<double>, cluster_size double, embed_avg array<double>")
 
 
-def with_decay(q: Quantizer, decay: float) -> Quantizer:
-    return replace(q, decay=decay)
+def state(book: DataFrame) -> State:
+    """The state of a codebook table (code, v and, where they are known, cluster_size and embed_avg); codes run from 0 without gaps."""
+    names = [c for c in ("code", "v", "cluster_size", "embed_avg") if c in book.columns]
+    rows = book.select(*names).orderBy("code").collect()
+    if not rows or [r["code"] for r in rows] != list(range(len(rows))):
+        raise ValueError("a codebook needs the codes from 0 without gaps")
+    e = np.array([r["v"] for r in rows], float)
+    size = np.array([r["cluster_size"] for r in rows], float) if "cluster_size" in names else np.zeros(len(rows))
+    return State(e, size, np.array([r["embed_avg"] for r in rows], float) if "embed_avg" in names else e.copy())
 
 
 def ema_sql(chunks: DataFrame, codes: DataFrame, book: DataFrame, decay: float = 0.99, eps: float = 1e-5, key: str = "id") -> DataFrame:
-    """One update as DataFrame operations: (code, d, size, value) from rows (code, v, cluster_size) and assigned chunks."""
+    """One update as DataFrame operations: (code, d, size, total, value) from rows (code, cluster_size, embed_avg) and assigned chunks.
+
+    ``total`` is the new embed_avg, ``value`` the new vector.
+    """
     hits = chunks.join(codes, [key, "chunk_no"]).select("code", F.posexplode("v").alias("d", "x"))
     stats = hits.groupBy("code", "d").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"))
-    old = book.select("code", "cluster_size", F.posexplode("v").alias("d", "y"))
+    old = book.select("code", "cluster_size", F.posexplode("embed_avg").alias("d", "y"))
     new = old.join(stats, ["code", "d"], "left").select(
         "code",
         "d",
@@ -248,4 +277,4 @@ def ema_sql(chunks: DataFrame, codes: DataFrame, book: DataFrame, decay: float =
     )
     whole = new.where("d = 0").agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("k"))
     smooth = (F.col("size") + eps) / (F.col("all") + F.col("k") * eps) * F.col("all")
-    return new.crossJoin(F.broadcast(whole)).select("code", "d", "size", (F.col("total") / smooth).alias("value"))
+    return new.crossJoin(F.broadcast(whole)).select("code", "d", "size", "total", (F.col("total") / smooth).alias("value"))

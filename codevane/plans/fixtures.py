@@ -47,7 +47,7 @@ class Tables:
     @property
     def codebook(self) -> DataFrame:
         found = self.chunks.where((F.col("id") < CODES) & (F.col("chunk_no") == F.col("id") % CHUNKS))
-        return found.select(F.col("id").cast("int").alias("code"), "v", F.lit(1.0).alias("cluster_size"))
+        return found.select(F.col("id").cast("int").alias("code"), "v", F.lit(1.0).alias("cluster_size"), F.col("v").alias("embed_avg"))
 
     @property
     def weights(self) -> DataFrame:

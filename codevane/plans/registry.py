@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codevane.functions.vectors import dot, doubles, total
-from codevane.operators import encode, index, metrics, prep, quantize, search, sparse
+from codevane.operators import encode, evaluate, index, metrics, prep, quantize, search, sparse
 from codevane.plans.fixtures import CHUNKS, CODES, OUTPUTS, Tables, sql
 from codevane.sources import tables as sources
 
@@ -93,14 +93,12 @@ select qid, 'v' || qid as query,
 from r group by qid"""
 )
 def q_triplets(t: Tables) -> DataFrame:
-    by_label = t.passages.groupBy("label").agg(F.collect_list("pid").alias("ids"))
-    lists = t.queries.select("qid", F.col("label").alias("own")).join(by_label, F.lit(True))
-    near = F.flatten(F.collect_list(F.when(F.col("label") == F.col("own"), F.col("ids"))))
-    far = F.flatten(F.collect_list(F.when(F.col("label") != F.col("own"), F.col("ids"))))
-    candidates = lists.groupBy("qid").agg(near.alias("pos"), far.alias("neg"))
+    near = t.queries.select("qid", "label").join(t.passages.select("pid", "label"), "label").select("qid", "pid", F.lit("pos").alias("role"))
+    # every passage of another label is a candidate; only the first of each query's order are kept by any task
+    far = t.passages.select("pid", "label").join(t.queries.select("qid", F.col("label").alias("own")), F.col("label") != F.col("own")).select("qid", "pid", F.lit("neg").alias("role"))
     named = F.concat(F.lit("v"), F.col("id").cast("string"))
     texts = t.vectors.select("id", named.alias("text"))
-    got = prep.triplets(candidates, texts.withColumnRenamed("id", "qid"), texts.withColumnRenamed("id", "pid"))
+    got = prep.looked_up(prep.drawn_pairs(near.unionByName(far)), texts.withColumnRenamed("id", "qid"), texts.withColumnRenamed("id", "pid"))
     return got.select("qid", "query", "positive", F.col("negatives")[0].alias("negative_1"), F.col("negatives")[1].alias("negative_2"))
 
 
@@ -187,6 +185,23 @@ def q_ema_step(t: Tables) -> DataFrame:
     return _longs(quantize.ema_sql(t.chunks, _codes(t), t.codebook)).select("code", "d", rounded("size"), rounded("value"))
 
 
+@query(
+    EMA_SQL
+    + """, book as (select code, i, size, total, total / ((size + 1e-5) / (a + k * 1e-5) * a) as y from new cross join whole),
+dist2 as (select id, chunk_no, code, sum((x - y) * (x - y)) as dist from cd join book using (i) group by all),
+codes2 as (select id, chunk_no, arg_min(code, (dist, code)) as code from dist2 group by all),
+hit2 as (select code, i, count(*) as n, sum(x) as s from codes2 join cd using (id, chunk_no) group by all),
+new2 as (select code, i, size * 0.99::double + coalesce(n, 0) * 0.01::double as size, total * 0.99::double + coalesce(s, 0) * 0.01::double as total from book left join hit2 using (code, i)),
+whole2 as (select sum(size) as a, count(*) as k from new2 where i = 0)
+select code, i as d, round(size, 6) as size, round(total / ((size + 1e-5) / (a + k * 1e-5) * a), 6) as value from new2 cross join whole2"""
+)
+def q_ema_second_step(t: Tables) -> DataFrame:
+    first = quantize.ema_sql(t.chunks, _codes(t), t.codebook).groupBy("code").agg(F.first("size").alias("cluster_size"), F.array_sort(F.collect_list(F.struct("d", "total", "value"))).alias("x"))
+    book = first.select("code", "cluster_size", F.transform("x", lambda r: r.value).alias("v"), F.transform("x", lambda r: r.total).alias("embed_avg"))
+    codes = quantize.assign(t.chunks, book)
+    return _longs(quantize.ema_sql(t.chunks, codes, book)).select("code", "d", rounded("size"), rounded("value"))
+
+
 @query(EMA_SQL + "select code, round(size, 6) as size from new where i = 0 and size < 1.1")
 def q_dead_codes(t: Tables) -> DataFrame:
     return _longs(quantize.ema_sql(t.chunks, _codes(t), t.codebook)).where("d = 0 and size < 1.1").select("code", rounded("size"))
@@ -194,16 +209,14 @@ def q_dead_codes(t: Tables) -> DataFrame:
 
 @query()
 def q_ema_train(t: Tables) -> DataFrame:
-    start = np.array([r["v"] for r in t.codebook.orderBy("code").collect()])
     q = quantize.Quantizer(CODES, 64 // CHUNKS, initial_size=1.0, reset_dead=True)
-    return quantize.codebook(t.spark, quantize.fit_exact(q, q.started(start), t.chunks, ["id", "chunk_no"]))
+    return quantize.codebook(t.spark, quantize.fit_exact(q, quantize.state(t.codebook), t.chunks, ["id", "chunk_no"]))
 
 
 @query(EMA_SQL + "select code, i as d, round(total / ((size + 1e-5) / (a + k * 1e-5) * a), 6) as value from new cross join whole")
 def q_ema_macro(t: Tables) -> DataFrame:
-    start = np.array([r["v"] for r in t.codebook.orderBy("code").collect()])
     q = quantize.Quantizer(CODES, 64 // CHUNKS, initial_size=1.0)
-    book = quantize.codebook(t.spark, quantize.fit_macro(q, q.started(start), [t.chunks]))
+    book = quantize.codebook(t.spark, quantize.fit_macro(q, quantize.state(t.codebook), [t.chunks]))
     return _longs(book.select("code", F.posexplode("v").alias("d", "value"))).select("code", "d", rounded("value"))
 
 
@@ -390,7 +403,11 @@ def _metrics(names: list[str], run: str, ks: tuple[int, ...] = (10, 100, 1000))
 
 
 def _evaluated(run: DataFrame, t: Tables, *names: str) -> DataFrame:
-    return _longs(metrics.evaluate(run, t.qrels).where(F.col("metric").isin(*names))).select("metric", "k", rounded("value"))
+    return _named(metrics.evaluate(run, t.qrels), *names)
+
+
+def _named(found: DataFrame, *names: str) -> DataFrame:
+    return _longs(found.where(F.col("metric").isin(*names))).select("metric", "k", rounded("value"))
 
 
 @query(sql(_metrics(["mrr"], "vq_run"), "vq_run", "qrels"))
@@ -411,8 +428,14 @@ def q_recall(t: Tables) -> DataFrame:
 @query(sql("select 'dense' as method, * from (" + _metrics(["mrr", "ndcg", "recall"], "dense_run") + ") union all select 'vq' as method, * from (" + _metrics(["mrr", "ndcg", "recall"], "vq_run") + ")", "vq_run", "dense_run", "qrels"))
 def q_metrics_dense_vs_vq(t: Tables) -> DataFrame:
     names = ("mrr", "ndcg", "recall")
-    dense = _evaluated(_dense_run(t), t, *names).select(F.lit("dense").alias("method"), "*")
-    return dense.unionByName(_evaluated(_vq_run(t), t, *names).select(F.lit("vq").alias("method"), "*"))
+    dense = _named(evaluate.evaluate("dense", t.passages, t.queries, t.qrels), *names).select(F.lit("dense").alias("method"), "*")
+    coded = _named(evaluate.evaluate("vq", t.passages, t.queries, t.qrels, codebook=t.codebook, chunks=CHUNKS), *names).select(F.lit("vq").alias("method"), "*")
+    return dense.unionByName(coded)
+
+
+@query("select count(*) as items, count(distinct vec_id) as ids, min(len(embedding)) as least_width, max(len(embedding)) as greatest_width from embeddings")
+def q_shapes(t: Tables) -> DataFrame:
+    return _longs(sources.shapes(t.vectors))
 
 
 # Words as codes

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,13 +24,20 @@ NEGATIVES = T.StructType(
 
 
 def checked(mode: str, kind: str | None = None) -> None:
-    """Modes and kinds are closed sets; train queries are never encoded for search."""
+    """Modes and kinds are closed sets."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     if kind is not None and kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}, not {kind!r}")
 
 
+def searchable(mode: str, kind: str) -> None:
+    """As ``checked``, for what a search encodes: train queries are for training only."""
+    checked(mode, kind)
+    if (mode, kind) == ("train", "query"):
+        raise ValueError("queries of the train split are not encoded for search")
+
+
 def read_tsv(spark: SparkSession, path: str, columns: int, quote: str = '"') -> DataFrame:
     """Rows of a tab-separated file without header as c0, c1, ... and ``line``, their order.
 
@@ -95,16 +104,45 @@ def read_negatives(spark: SparkSession, path: str, sample_count: int | None = No
     return df if sample_count is None else df.limit(max(0, sample_count - 1))
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def write_artefact(df: DataFrame, path: str, partition: str | None = None) -> DataFrame:
-    """Writes Parquet, replacing what is there in one commit, and returns the table read back."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Writes Parquet and returns the table read back.
+
+    The new table is written beside ``path`` and renamed when it is complete,
+    so what was there stays until then, also where ``df`` reads it.
+    """
+    spark, fresh = df.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition) if partition else df.write).parquet(fresh)
+    fs, target = _path(spark, path)
+    fs.delete(target, True)
+    if not fs.rename(_path(spark, fresh)[1], target):
+        raise OSError(f"cannot rename {fresh} to {path}")
+    return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _path(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
 
 
 def read_through(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
@@ -133,44 +171,56 @@ class EmbeddingCache:
         return {k: write_artefact(self.compute(mode, k), p) for k, p in paths.items()}
 
     def dimension(self, mode: str = "dev", kind: str = "passage") -> int:
-        """The width of the vectors; an error if none is there."""
-        row = self.load(mode, kind).agg(F.max(F.size("embedding")).alias("n")).first()
-        if row["n"] is None:
-            raise ValueError("no embedding to take a dimension from")
-        return row["n"]
+        """The width of the vectors; an error if none is there or widths differ."""
+        row = shapes(self.load(mode, kind)).first()
+        if row["least_width"] is None or row["least_width"] != row["greatest_width"]:
+            raise ValueError("no embedding, or none of one width, to take a dimension from")
+        return row["greatest_width"]
 
 
 class Checkpoints:
-    """Model tables by training step; the newest ``keep`` are kept, the best is by least loss."""
+    """Model tables by training step: the newest ``keep`` and the best, which has the least loss, the later step on a tie."""
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 50):
         self.spark, self.root, self.keep = spark, root, keep
 
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def steps(self) -> list[int]:
-        fs, root = self._fs()
+        fs, root = _path(self.spark, self.root)
         found = fs.listStatus(root) if fs.exists(root) else []
-        return sorted(int(s.getPath().getName().removeprefix("step=")) for s in found if s.getPath().getName().startswith("step="))
+        names = (s.getPath().getName() for s in found)
+        return sorted(int(n.removeprefix("step=")) for n in names if n.removeprefix("step=").isdigit() and exists(self.spark, f"{self.root}/{n}/metrics"))
 
     def save(self, step: int, tables: dict[str, DataFrame], loss: float) -> None:
+        """Writes the tables, then the loss, without which a step does not count."""
         for name, df in tables.items():
             write_artefact(df, f"{self.root}/step={step}/{name}")
         write_artefact(self.spark.createDataFrame([(step, float(loss))], "step int, eval_loss double"), f"{self.root}/step={step}/metrics")
-        fs, _ = self._fs()
+        best = self.best()
         for old in self.steps()[: -self.keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/step={old}"), True)
+            if old != best:
+                delete(self.spark, f"{self.root}/step={old}")
 
     def load(self, step: int, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/step={step}/{name}")
 
     def best(self) -> int:
-        losses = [(self.load(s, "metrics").first()["eval_loss"], s) for s in self.steps()]
+        losses = [(self.load(s, "metrics").first()["eval_loss"], -s) for s in self.steps()]
         if not losses:
             raise ValueError("no checkpoint")
-        return min(losses)[1]
+        return -min(losses)[1]
+
+
+def shapes(embeddings: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """(items, ids, least_width, greatest_width) of a table of vectors."""
+    width = F.size(vector)
+    return embeddings.agg(F.count(F.lit(1)).alias("items"), F.count_distinct(key).alias("ids"), F.min(width).alias("least_width"), F.max(width).alias("greatest_width"))
+
+
+def read_teacher_triples(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, pos, neg) of a tab-separated file without header: two scores, then the three ids."""
+    schema = "score_pos double, score_neg double, qid long, pos long, neg long"
+    rows = spark.read.schema(schema).option("sep", "\t").option("mode", "FAILFAST").option("quote", "").csv(path)
+    return rows.select("qid", F.array("pos").alias("pos"), F.array("neg").alias("neg"))
 
 
 def append_metrics(df: DataFrame, path: str) -> None:

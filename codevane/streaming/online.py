@@ -23,12 +23,7 @@ def online_codebook(stream: DataFrame, quantizer: quantize.Quantizer, start: qua
     spark = stream.sparkSession
 
     def update(batch: DataFrame, number: int) -> None:
-        import numpy as np
-
-        state = start
-        if number:
-            rows = spark.read.parquet(f"{path}/step={number - 1}").orderBy("code").collect()
-            state = quantize.State(*(np.array([r[c] for r in rows]) for c in ("v", "cluster_size", "embed_avg")))
+        state = quantize.state(spark.read.parquet(f"{path}/step={number - 1}")) if number else start
         state = quantize.fit_macro(quantizer, state, [quantize.chunk(batch, chunks, key=key)])
         quantize.codebook(spark, state).write.mode("overwrite").parquet(f"{path}/step={number}")
 
