@@ -8,9 +8,9 @@ score is the share of the text's n-grams that this language accounts for.
 
 Training takes about ``sample_rows`` labelled rows, chosen by a hash of doc_id,
 and of a language that has few of these up to ``LANGUAGE_ROWS``: a rare
-language gives all its rows, however large the table is.  A language keeps the n-grams that make up at least ``MIN_SHARE``
-of its n-grams, hence at most 1 / MIN_SHARE of them, and of these only the
-ones not far more common elsewhere.
+language gives all its rows, however large the table is.  A language keeps the
+n-grams that make up at least ``MIN_SHARE`` of its n-grams, hence at most
+1 / MIN_SHARE of them, and of these only the ones not far more common elsewhere.
 
 Defined results: text null, empty or without a letter gives ``und`` and score
 0; a text with letters but without n-grams, or without a known one, gives the
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, training: Column | None
                         held[lang] = merged(own)
         for lang, parts in held.items():
             for code, times in merged(parts):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.astype(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "code", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "code", "times"])
 
     counts = rows.select("text", "lang").mapInArrow(store.frugal(count), "lang string, code long, times long").groupBy("lang", "code").agg(F.sum("times").alias("times"))
     totals = counts.groupBy("lang").agg(F.sum("times").alias("total"))

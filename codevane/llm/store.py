@@ -50,15 +50,21 @@ def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
-#: Texts that go to Python in one batch, where the session has Spark's own default.
-BATCH = "2000"
+#: Texts, and bytes of texts, that go to Python in one batch, where the session has Spark's own defaults.
+BATCH, BATCH_BYTES = "2000", "16777216b"
+DEFAULTS = {"maxRecordsPerBatch": ("10000", BATCH), "maxBytesPerBatch": ("67108864b", BATCH_BYTES)}
 
 
 def bounded(spark: SparkSession) -> None:
-    """Keeps batches of texts small, so that a worker's memory follows BATCH and not the rows of a file."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH)
+    """Keeps batches of texts small, so that a worker's memory follows the bounds and not the rows of a file.
+
+    These are settings of the session and stay for what it runs later; values
+    that a user has chosen are left alone.
+    """
+    for name, (default, value) in DEFAULTS.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, value)
 
 
 def written(df: DataFrame) -> DataFrame:

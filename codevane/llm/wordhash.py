@@ -19,6 +19,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is cut between words.
 BLOCK = 1 << 20
+#: A longer word's sums are taken in parts.
+LONG = 1 << 22
 
 #: Hashes are polynomials over the field of this prime, so no pattern of letters makes unlike words meet.
 PRIME = (1 << 61) - 1
@@ -90,15 +92,27 @@ def _split(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1][keep], at[1:][keep]
 
 
+def _long(word: np.ndarray, high: np.ndarray, low: np.ndarray) -> int:
+    """The polynomial of a word of any length."""
+    total = 0
+    for a in range(0, len(word), LONG):
+        byte = word[a : a + LONG].astype(np.uint64) + np.uint64(1)
+        part = (int((byte * high[: len(byte)]).sum()) << 30) + int((byte * low[: len(byte)]).sum())
+        total += part * pow(_BASE, a, PRIME)
+    return total % PRIME
+
+
 def _hash(buf: np.ndarray, st: np.ndarray, en: np.ndarray) -> np.ndarray:
     high, low, inverse = _tables(len(buf) + 1)
     byte, sums = buf.astype(np.uint64) + np.uint64(1), []
     for power in (high, low):
         s = np.zeros(len(buf) + 1, np.uint64)
-        # 2**21 products of at most 2**40 stay below 2**61
+        # sums go round at 2**64; the products of LONG bytes, at most 2**40 each, stay below that
         np.cumsum(byte * power[: len(buf)], out=s[1:])
         sums.append(s[en] - s[st])
     value = product(joined(*sums), inverse[st])
+    for i in np.flatnonzero(en - st > LONG):
+        value[i] = _long(buf[st[i] : en[i]], high, low)
     return mix(value + (en - st).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 

@@ -327,6 +327,68 @@ def test_language(spark, sf, docs):
     assert {r.lang_pred for r in language.digest(none).collect()} == {language.UNKNOWN}
 
 
+def folded(text):
+    """A text's bytes with letters lowered, and all but letters and bytes beyond ASCII as blanks."""
+    return bytes(b if b > 127 else b | 32 if chr(b).isalpha() else 32 for b in text.encode())
+
+
+def grams_of(text):
+    f = folded(text)
+    return [int.from_bytes(f[i : i + 4], "big") for i in range(len(f) - 3) if f[i : i + 4] != b"    "]
+
+
+def spots_of(code):
+    return [((code + 1) * int(m) % 2**64) >> 45 for m in language._MULTIPLIERS]
+
+
+def test_language_model_and_verdicts_by_hand(spark):
+    """Filters, corrections and decisions against plain Python, with more than 64 languages and a tie."""
+    rnd = random.Random(6)
+    alphabets = ["".join(rnd.sample("abcdefghijklmnopqrstuvwxyzäöüßéèçñ", 7)) for _ in range(70)]
+
+    def text(letters):
+        return " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 7))) for _ in range(12))
+
+    rows = [(i, text(alphabets[i % 70]), f"l{i % 70:02d}") for i in range(280)] + [(900, "qqqqq wwwww", "tie1"), (901, "qqqqq wwwww", "tie2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, training=F.lit(True))
+    assert model.languages == tuple(sorted({r[2] for r in rows}))
+    counts = {x: Counter(g for _, t, y in rows if y == x for g in grams_of(t)) for x in model.languages}
+    share = {x: {g: n / sum(c.values()) for g, n in c.items() if n >= language.MIN_SHARE * sum(c.values())} for x, c in counts.items()}
+    most = Counter()
+    for s in share.values():
+        for g, v in s.items():
+            most[g] = max(most[g], v)
+    marked = [{p for g, v in share[x].items() if v >= language.RELATIVE * most[g] for p in spots_of(g)} for x in model.languages]
+    for i, spots in enumerate(marked):
+        assert set(np.flatnonzero(model.table[i // 64] >> np.uint64(i % 64) & np.uint64(1)).tolist()) == spots
+    asked = [text(a) for a in alphabets[:40]] + ["qqqqq wwwww", "", "123 456", "ab", "äö 12", None, "Qqqqq, " * 40]
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(asked):
+        g = grams_of(t or "")
+        if not any(c.isalpha() for c in t or ""):
+            want, score = language.UNKNOWN, 0.0
+        else:
+            hits = [sum(all(p in spots for p in spots_of(x)) for x in g) for spots in marked]
+            true = [max(0.0, (h - len(g) * r) / (1 - r)) for h, r in zip(hits, ((len(s) / language.POSITIONS) ** language.HASHES for s in marked))]
+            top = max(true)
+            want = model.languages[true.index(top) if top > 0 else model.commonest]
+            score = min(1.0, top / max(1, len(g)))
+        assert got[i].lang_pred == want and got[i].score == pytest.approx(score), t
+    assert got[40].lang_pred == "tie1"
+
+
+def test_words_longer_than_a_part(monkeypatch):
+    import pyarrow as pa
+
+    from codevane.llm import wordhash
+
+    word = "".join(random.Random(3).choice("abcdef") for _ in range(5000))
+    want = next(wordhash.blocks(pa.array([f"x {word} {word}"]))).hash
+    monkeypatch.setattr(wordhash, "LONG", 700)
+    assert next(wordhash.blocks(pa.array([f"x {word} {word}"]))).hash.tolist() == want.tolist() and want[1] == want[2]
+
+
 def test_language_ignores_other_columns(docs):
     model = language.fit(docs)
     a = docs.select("text", F.lit("x").alias("lang"), F.lit(1).alias("doc_id"))

@@ -59,6 +59,29 @@ def test_a_label_that_was_not_learned_stays(spark, sf, monkeypatch):
     assert sorted(r.doc_id for r in kept.where("lang = 'ru'").collect()) == [r[0] for r in RARE]
 
 
+CLASH = ("id", "class", "node", "token", "component_id", "key", "spans", "shard", "slot_key", "size", "taken", "lang_pred", "score", "ids", "n_tokens", "word", "bucket")
+
+
+@pytest.mark.parametrize("i", range(5))
+def test_stages_of_empty_tables_and_clashing_columns(spark, sf, tables, i):
+    _, stage = P.STAGES[i]
+    docs = tables[i].orderBy("doc_id").limit(60)
+    clash = docs.withColumns({c: F.lit("clash") for c in CLASH})
+    key = lambda r: str(tuple(r))
+    want, got = stage(spark, docs, sf), stage(spark, clash, sf)
+    assert want.columns == got.columns and sorted(map(key, want.collect())) == sorted(map(key, got.collect()))
+    assert stage(spark, clash.where("false"), sf).collect() == []
+
+
+@pytest.mark.parametrize("i", range(5))
+def test_stages_of_nulls_and_repeats(spark, sf, tables, i):
+    _, stage = P.STAGES[i]
+    rows = [(None, None, None, None, None)] * 2 + [(5, "", "en", None, 0), (5, None, "en", "src0", None), (6, " \n", None, "src0", 1)] + [tuple(r) for r in tables[1].limit(3).collect()] * 2
+    got = stage(spark, spark.createDataFrame(rows, tables[0].schema), sf).collect()
+    n = {"language identification": 6, "near copies": 2 + 3 + 3, "personal data": 11, "mixing": None, "encoding": 11}[P.STAGES[i][0]]
+    assert n is None or len(got) == n
+
+
 def test_one_of_each_group_stays(tables):
     groups = similarity.join(tables[1], similarity.Rule(5, 80, 100)).where("doc_id is not null").collect()
     assert sorted(r.doc_id for r in tables[2].where("doc_id is not null").collect()) == sorted({r.component_id for r in groups})
