@@ -3,6 +3,10 @@
 Each stage takes what the one before it kept and returns the columns of
 ``documents``; the last returns ids.  Results between stages are Parquet tables
 in the shared folder, so a stage can be run again alone.
+
+Defined results, for every stage: a null in any column is allowed and says what
+each stage has for it; texts are worked on whole; a table without rows gives
+none; columns beyond those of ``documents`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Names each document's language; what has no letters, or is long and in no known language, goes.
 
     A label that the model could not learn is no unknown language: its documents
-    keep it.
+    keep it.  A null or empty text has no letters and goes; a null ``lang`` is
+    filled in; repeated rows are judged alike and all stay; of languages that
+    fit alike the first by code point is taken.
     """
     store.bounded(spark)
     docs = docs.select(*COLUMNS)
@@ -37,8 +43,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unite(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the least id stays.
 
-    Rows that share an id are one document only if they share the text too;
-    rows without an id all stay.
+    Rows that share an id are one document only if they share the text too; of
+    them the one with the least other columns stays.  Rows without an id all
+    stay, and so does every text without words: those are alike to nothing.
     """
     store.bounded(spark)
     docs, rule = docs.select(*COLUMNS), similarity.Rule(5, 80, 100)
@@ -57,17 +64,21 @@ def unite(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by the name of its kind."""
+    """Replaces personal data by the name of its kind; all rows stay, repeated ones too, and a null text stays null."""
     return pii.mask(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes sources to their target weights; a document taken twice is two rows."""
+    """Takes sources to their target weights; a document taken twice is two rows.
+
+    A null source is a source of its own; a null or empty text has no words and
+    is taken in whole passes over its source; repeated rows are documents each.
+    """
     return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every row: doc_id, source, n_tokens, ids."""
+    """The token ids of every row, repeated ones too: doc_id, source, n_tokens, ids; a null text has none."""
     store.bounded(spark)
     done = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return done.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
