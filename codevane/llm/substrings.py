@@ -2,25 +2,28 @@
 
 A text's words are shortened by rounds.  A round gives a name to every short
 run of equal symbols, or to every pair of neighbours whose coins fall left and
-right; a name is a hash of what it stands for, so all tasks name alike without
-an exchange, and equal word sequences get equal symbols everywhere but near
-their ends.  Only symbols up to a round's cap take part, so an end can upset at
-most ``cap`` words in a round, and LOSS words in all.
+right; a name is a hash of what it stands for, so all tasks name alike, and
+equal word sequences get equal symbols everywhere but near their ends.  Only
+symbols up to a round's cap take part, so an end can upset at most ``cap``
+words in a round, and LOSS words in all.
 
 Every window of WINDOW words picks the symbol of least hash among those that
 lie wholly in its undisturbed middle: its anchor.  Equal windows pick equal
 anchors, and neighbours mostly share theirs, so there is about one anchor in 17
-words.  An anchor's key is the hash of the words that all its windows have.
+words.  Three rounds over all tasks then name what stands around an anchor,
+each longer than the last, by grouping; names of one document only are done
+with:
 
-1. Anchors are grouped by key, each with a hash of all words of its windows.
-   A key in one document only is done with.
-2. Keys whose anchors all have the same words are settled by the anchor; the
-   others, at the ends of repeats, by each window's own hash.
-3. What is found in a document with a smaller id is removed.
+1. The words that all windows of an anchor have.
+2. All words of its windows, from the first window to the last.  Anchors of a
+   name of round 1 that agree in this are settled: all their windows are equal.
+3. Each window, where they do not agree, as at the ends of repeats.
 
-Shared keys travel to the texts as a filter of bounded size; what passes it by
-chance is sorted out by the exact grouping that follows.  Groups are only ever
-reduced to a minimum, never listed.
+What is found in a document with a smaller id is removed.  Rounds 2 and 3 name
+by a cryptographic hash of the words themselves, of 128 bits, so that what is
+removed is decided by words at any number of windows.  Round 1 only says what
+to look at.  Every step is a join or a sum over groups, which are only ever
+reduced to a minimum and never listed.
 
 Defined results: a null text has no words; rows without an id keep all words
 and remove none elsewhere; rows that repeat an id do not remove each other's
@@ -30,6 +33,7 @@ none; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,14 +113,14 @@ class Hasher:
 
 
 def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each anchor of a block: its text, key, first window, number of windows and content hash.
+    """For each anchor of a block: its text, key, place, first window and number of windows.
 
     ``at`` holds the first word of each text and the end.
     """
     n = len(words)
     none = np.zeros(0, np.int64)
     if n < WINDOW:
-        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), Hasher(words)
+        return none, none.astype(np.uint64), none, none, none
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     start, name = symbols(words, doc)
     rank = np.full(n, np.iinfo(np.uint64).max, np.uint64)
@@ -132,60 +136,87 @@ def anchors(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     first, count = first[good], count[good]
     s = spot[first]
     h = Hasher(words)
-    key = h.of(s - LOSS, s + LONGEST + LOSS)
-    content = wordhash.mix(h.of(first, first + count + WINDOW - 1) + (s - first).astype(np.uint64) * _K1)
-    return doc[first], key, first, count, content, h
+    return doc[first], h.of(s - LOSS, s + LONGEST + LOSS), s, first, count
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, wordhash.Block, tuple]]:
-    for batch in batches:
-        ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for b in wordhash.blocks(batch.column(2)):
-            yield ids[b.lo : b.hi], rows[b.lo : b.hi], b, anchors(b.hash, b.at)
+class Words:
+    """The words of a block, each parted from the next by one blank, and hashes of stretches of them."""
+
+    def __init__(self, block: wordhash.Block):
+        kept = ~wordhash._SPACE[block.buf]
+        after = block.end[block.end < len(kept)]
+        kept[after] = True
+        buf = np.where(wordhash._SPACE[block.buf], np.uint8(32), block.buf)
+        at = np.concatenate([[0], np.cumsum(kept)])
+        self.bytes = memoryview(buf[kept].tobytes())
+        self.start, self.end = at[block.start], at[block.end]
+
+    def hashes(self, a: np.ndarray, b: np.ndarray, more: np.ndarray | None = None) -> list[bytes]:
+        """128-bit hashes of words a to b-1, with a number each."""
+        new, view = hashlib.blake2b, self.bytes
+        lo, hi = self.start[a].tolist(), self.end[b - 1].tolist()
+        marks = [b""] * len(lo) if more is None else [int(x).to_bytes(4, "little") for x in more]
+        return [new(view[x:y], digest_size=16, salt=m).digest() for x, y, m in zip(lo, hi, marks, strict=True)]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def removable(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stretches of words to remove: (doc_id, row, spots), spots being (first word, number of words).
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, row, text) of rows with an id; ``row`` is the hash of the text, which tells rows of one id apart."""
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
-    ``row`` is the hash of the text, which tells rows of one id apart.
-    """
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, _, (d, key, _, _, content, _) in _rows(batches):
-            yield pa.RecordBatch.from_arrays([_signed(key), pa.array(ids[d]), _signed(content)], names=["key", "doc_id", "content"])
-
-    seen = rows.mapInArrow(keys, "key long, doc_id long, content long").groupBy("key")
-    seen = seen.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("content").alias("c"), F.max("content").alias("d"))
-    shared = store.written(seen.where("a < b").select("key", (F.col("c") == F.col("d")).alias("alike")))
-    alike, mixed = (store.filter_of(shared.where(x), "key") for x in ("alike", "not alike"))
-    store.drop(shared)
-    held = docs.sparkSession.sparkContext.broadcast((alike.bits, mixed.bits))
-
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alike, mixed = map(store.Filter, held.value)
-        for ids, rows, block, (d, key, first, count, content, h) in _rows(batches):
-            for whole in (True, False):
-                # a key that passes both filters counts in both ways
-                on = np.flatnonzero((alike if whole else mixed).has(key))
-                n = count[on]
-                if whole:
-                    at, width, what = first[on], n, content[on]
-                else:
-                    at = np.repeat(first[on] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    on = np.repeat(on, n)
-                    width, what = np.ones(len(at), np.int64), h.of(at, at + WINDOW)
-                what = wordhash.mix(what * _K1 + key[on] + np.uint64(whole))
-                yield pa.RecordBatch.from_arrays([_signed(what), pa.array(ids[d[on]]), pa.array(rows[d[on]]), pa.array(at - block.at[d[on]]), pa.array((width + WINDOW - 1).astype(np.int32))], names=["what", "doc_id", "row", "at", "n"])
-
-    found = store.written(rows.mapInArrow(units, "what long, doc_id long, row long, at long, n int"))
-    firsts = store.written(found.groupBy("what").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("what", "first"))
-    again = found.join(firsts, "what").where(F.col("doc_id") > F.col("first"))
-    return again.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
+
+def named(rows: DataFrame) -> DataFrame:
+    """Every anchor: (key, doc_id, row, first, n, content), the name of round 1, its windows, and the name of round 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for b in wordhash.blocks(batch.column(2), spans=True):
+                d, key, s, first, count = anchors(b.hash, b.at)
+                content = Words(b).hashes(first, first + count + WINDOW - 1, s - first)
+                cols = [_signed(key), pa.array(ids[b.lo + d]), pa.array(hashes[b.lo + d]), pa.array((first - b.at[d]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(content, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "doc_id", "row", "first", "n", "content"])
+
+    return rows.mapInArrow(store.frugal(run), "key long, doc_id long, row long, first int, n int, content binary")
+
+
+def windows(rows: DataFrame, spots: DataFrame) -> DataFrame:
+    """Every window that ``spots`` (doc_id, row, spots of first window and number) tell of: (what, doc_id, row, at), the name of round 3."""
+    some = store.passing(rows, "doc_id", spots, "doc_id").dropDuplicates(["doc_id", "row"]).join(spots, ["doc_id", "row"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for b in wordhash.blocks(batch.column(2), spans=True):
+                words = Words(b)
+                for i in range(b.lo, b.hi):
+                    first, n = (lists[i].values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    a = at + b.at[i - b.lo]
+                    cols = [pa.array(words.hashes(a, a + WINDOW), pa.binary()), pa.array(np.full(len(at), ids[i])), pa.array(np.full(len(at), hashes[i])), pa.array(at.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["what", "doc_id", "row", "at"])
+
+    return some.select("doc_id", "row", "text", "spots").mapInArrow(store.frugal(run), "what binary, doc_id long, row long, at int")
+
+
+def removable(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stretches of words to remove: (doc_id, row, spots), spots being (first word, number of words)."""
+    rows = _rows(docs, doc_id, text)
+    every = store.written(named(rows))
+    sums = every.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+    shared = store.written(sums.where("least < last").select("key", "least", (F.col("lo") == F.col("hi")).alias("alike")))
+    some = store.written(every.join(shared, "key").select("doc_id", "row", "first", "n", "least", "alike"))
+    whole = some.where(F.col("alike") & (F.col("doc_id") > F.col("least"))).select("doc_id", "row", F.col("first").alias("at"), (F.col("n") + (WINDOW - 1)).alias("n"))
+    spots = store.written(some.where("not alike").groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "n")).alias("spots")))
+    found = store.written(windows(rows, spots))
+    firsts = found.groupBy("what").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("what", "first")
+    again = found.join(firsts, "what").where(F.col("doc_id") > F.col("first")).select("doc_id", "row", "at", F.lit(WINDOW).alias("n"))
+    out = store.written(whole.unionByName(again).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n")).alias("spots")))
+    store.drop(every, shared, some, spots, found)
+    return out
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

@@ -584,6 +584,24 @@ def test_substrings(spark, docs):
     assert substrings.digest(empty(docs)).count() == 0
 
 
+def test_equal_substrings_share_interior_names(spark):
+    """Wherever it stands, in whatever task, a passage has the same symbols and anchors but near its ends."""
+    rnd = random.Random(13)
+    passage = [f"p{rnd.randrange(40)}" for _ in range(120)]
+    texts = [" ".join([f"x{j}x{i}" for i in range(rnd.randrange(0, 90))] + passage + [f"y{j}y{i}" for i in range(30)]) for j in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    rows = substrings.named(substrings._rows(df, "doc_id", "text")).collect()
+    length = {i: len(words(t)) for i, t in enumerate(texts)}
+    inside = defaultdict(set)
+    for r in rows:
+        at = r["first"] - (length[r.doc_id] - 150)
+        if 0 <= at and at + r.n + substrings.WINDOW - 1 <= 120:
+            inside[r.doc_id].add((r.key, at, r.n, bytes(r.content)))
+    shared = set.intersection(*inside.values())
+    assert len(inside) == 6 and len(shared) >= 2
+    assert sum(n for _, _, n, _ in shared) >= 120 - 50 + 1 - 2 * 18
+
+
 def test_bpe(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
