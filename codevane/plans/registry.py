@@ -478,5 +478,7 @@ select qid, pid, round(score, 6) as score, row_number() over (partition by qid o
 )
 def q_bm25(t: Tables) -> DataFrame:
     q, p = _text_sides(t)
+    # lengths, counts and weights all read the terms: words are split once
+    p = sources.write_artefact(p, sources.scratch(t.spark))
     scores = search.sparse_scores(q, index.bm25(p, "pid")).withColumn("score", F.round("score", 6))
     return _longs(search.ranked(scores, 100))

@@ -228,6 +228,7 @@ def test_search_pads_and_breaks_ties(spark):
     q = spark.createDataFrame([("q", 1, 2.0), ("r", 9, 1.0)], "qid string, code int, weight double")
     d = spark.createDataFrame([(3, 1, 1.0), (2, 1, 1.0), (4, 7, 1.0)], "pid long, code int, weight double")
     assert [(r.pid, r.score, r["rank"]) for r in search.sparse_search(q, d, 5).orderBy("rank").collect()] == [(2, 2.0, 1), (3, 2.0, 2)]
+    assert search.sparse_search(q, d, 5, salts=3).orderBy("rank").collect() == search.sparse_search(q, d, 5).orderBy("rank").collect()
     maps = {r.qid: r.results for r in search.as_map(search.sparse_search(q, d, 5)).collect()}
     assert maps == {"q": {"2": 2.0, "3": 2.0}}
     padded = search.sparse_search(q, d, 3, d.select("pid")).orderBy("qid", "rank").collect()
