@@ -212,10 +212,11 @@ def removable(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     whole = some.where(F.col("alike") & (F.col("doc_id") > F.col("least"))).select("doc_id", "row", F.col("first").alias("at"), (F.col("n") + (WINDOW - 1)).alias("n"))
     spots = store.written(some.where("not alike").groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "n")).alias("spots")))
     found = store.written(windows(rows, spots))
-    firsts = found.groupBy("what").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("what", "first")
+    # a table of its own, so that the join below is one of two plain shuffles, whose large keys Spark splits
+    firsts = store.written(found.groupBy("what").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("what", "first"))
     again = found.join(firsts, "what").where(F.col("doc_id") > F.col("first")).select("doc_id", "row", "at", F.lit(WINDOW).alias("n"))
     out = store.written(whole.unionByName(again).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n")).alias("spots")))
-    store.drop(every, shared, some, spots, found)
+    store.drop(every, shared, some, spots, found, firsts)
     return out
 
 
