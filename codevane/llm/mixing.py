@@ -10,8 +10,13 @@ use each block once.  Leaves take disjoint runs of blocks, and a shard is then
 shuffled by a hash of its rows.
 
 Places in the random order are running sums inside cells (slices of the hash)
-plus the cell's offset, so no task holds a whole source.  The driver holds one
-row for each source, never one for each document.
+plus the cell's offset, so no task holds a whole source.  Sources are rows of a
+table, too: their number is not bounded by the driver.  The level up to which
+all sources share alike is narrowed down by sums over a few thousand bins.  The
+tree first splits the quotas of groups of GROUP sources, then each group's part
+among its sources, in a task of its own; the draws are those of one tree, since
+a draw without replacement can be made for a group first and for its members
+then.  The driver holds a row for each group.
 
 Documents larger than 1/64 of their source come first in its order, so that
 the place where a part ends lies among small ones and targets are met closely.
@@ -24,12 +29,14 @@ without rows gives none; columns not named here pass through ``plan``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from codevane.llm import store
+from codevane.llm import sharding, store
 
 P = "__mix_"
 WEIGHTS = (5, 2, 1)
@@ -39,6 +46,8 @@ CELL_ROWS = 4096
 BLOCKS = 1024
 LARGE = 64
 UNITS = 1 << 14
+#: Sources of a group, and bins in which the level is looked for.
+GROUP, BINS = 4096, 4096
 
 
 def size(text: Column) -> Column:
@@ -47,41 +56,95 @@ def size(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
+def ordered(sizes: DataFrame) -> DataFrame:
+    """Adds ``rank``, a source's place from 0 by code point, null last; written, so that it stays what it is."""
+    key = F.col("source").asc_nulls_last()
+    df = sizes.repartitionByRange(key).sortWithinPartitions(key)
+    df = store.written(df.withColumn(P + "id", F.monotonically_increasing_id()))
+    # a partition's rows are numbered from its number times 2**33
+    df = df.withColumn(P + "part", F.shiftright(P + "id", 33))
+    counts = df.groupBy(P + "part").agg(F.count(F.lit(1)).alias(P + "n"))
+    w = Window.partitionBy(F.lit(0)).orderBy(P + "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.select(P + "part", (F.sum(P + "n").over(w) - F.col(P + "n")).alias(P + "first"))
+    rank = F.col(P + "first") + F.col(P + "id").bitwiseAND(F.lit((1 << 33) - 1))
+    return df.join(F.broadcast(counts), P + "part").withColumn("rank", rank).drop(P + "part", P + "id", P + "first")
+
+
+def level(df: DataFrame, budget: float) -> float:
+    """The level x at which the sums of min(w * x, cap) over rows (w, cap, full = cap / w) are the budget.
+
+    Of the places ``full`` where a row stops growing, the first where the sums
+    reach the budget is narrowed down to one value.
+    """
+    below, above, part = 0.0, 0.0, df
+    edges = df.agg(F.min("full"), F.max("full")).first()
+    while True:
+        lo, hi = edges
+        at = F.lit(0) if lo == hi else F.least(F.floor((F.col("full") - lo) / (hi - lo) * BINS), F.lit(BINS - 1))
+        bins = sorted(part.groupBy(at.alias("bin")).agg(F.sum("cap").alias("cap"), F.sum("w").alias("w"), F.min("full").alias("lo"), F.max("full").alias("hi")).collect())
+        rest = above + sum(b["w"] for b in bins)
+        for b in bins:
+            rest -= b["w"]
+            if below + b["cap"] + b["hi"] * rest >= budget or b is bins[-1]:
+                break
+            below += b["cap"]
+        if b["lo"] == b["hi"]:
+            return (budget - below) / (b["w"] + rest)
+        above, edges = rest, (b["lo"], b["hi"])
+        part = df.where(F.col("full").between(*edges))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
-    """Target of each row of (source, source_size): shares by weight, none above MOST of its source.
+    """Rows (source, source_size) with ``rank`` and ``target``: shares by weight, none above MOST of its source."""
+    df = ordered(sizes)
+    total = df.agg(F.sum("source_size")).first()[0]
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("double")
+    df = df.withColumn("w", weight).withColumn("cap", F.lit(MOST) * F.col("source_size")).withColumn("full", F.col("cap") / F.col("w"))
+    x = 0.0 if not total else level(df, SHARE * total)
+    return df.withColumn("target", F.least(F.col("w") * x, F.col("cap"))).drop("w", "cap", "full")
+
+
+def split(quotas: np.ndarray, shares: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """quotas[source] blocks dealt to shards that take shares[shard] of them: out[shard, source], exact in both sums.
 
-    Sources below the level at which the rest share alike are full.  Sorted by
-    the level that fills them, the level with the first k full is a ratio of
-    running sums; the right k is the first whose level fills no other.
+    The tree over the shards; each node draws its left half's blocks without
+    replacement, source by source.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int"))
-    df = sizes.withColumn(P + "w", weight.cast("double")).withColumn(P + "cap", F.lit(MOST) * F.col("source_size"))
-    df = df.withColumn(P + "full", F.col(P + "cap") / F.col(P + "w"))
-    every = Window.partitionBy(F.lit(0))
-    run = every.orderBy(P + "full", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(P + "cap").over(run), F.lit(0.0))
-    rest = F.sum(P + "w").over(every) - F.coalesce(F.sum(P + "w").over(run), F.lit(0.0))
-    level = (F.lit(SHARE) * F.sum("source_size").over(every) - before) / rest
-    df = df.withColumn(P + "level", level)
-    right = F.min(F.when(F.col(P + "level") <= F.col(P + "full"), F.struct(P + "full", P + "level"))).over(every)[P + "level"]
-    return df.withColumn("target", F.least(F.col(P + "w") * right, F.col(P + "cap"))).select("source", "source_size", "target")
-
-
-def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """quotas[source] blocks dealt to shards: out[shard, source], exact in both sums up to one block a shard."""
-    if shards == 1:
+    if len(shares) == 1:
         return quotas[None, :]
-    left = shards // 2
-    n = int(quotas.sum()) * left // shards
-    part = quotas.copy()
-    # a draw without replacement, source by source
-    taken, over, want = np.zeros_like(quotas), int(quotas.sum()), n
-    for i, q in enumerate(part):
+    left = len(shares) // 2
+    taken, over, want = np.zeros_like(quotas), int(quotas.sum()), int(shares[:left].sum())
+    for i, q in enumerate(quotas):
         over -= int(q)
         taken[i] = want if over == 0 else rng.hypergeometric(int(q), over, want) if want and q else 0
         want -= int(taken[i])
-    return np.concatenate([split(taken, left, rng), split(quotas - taken, shards - left, rng)])
+    return np.concatenate([split(taken, shares[:left], rng), split(quotas - taken, shares[left:], rng)])
+
+
+def even(blocks: int, shards: int) -> np.ndarray:
+    """How many of the blocks each shard takes, one more or less."""
+    return np.diff(np.arange(shards + 1) * blocks // shards)
+
+
+def _bounds(parts: DataFrame, shards: int, seed: int, width: int) -> DataFrame:
+    """parts (rank, words) with ``bounds``: the first block of each shard but the first, of every source."""
+    blocks = F.ceil(F.col("words") / width).cast("long")
+    parts = parts.withColumn("quota", blocks).withColumn("group", F.floor(F.col("rank") / GROUP))
+    groups = sorted(parts.groupBy("group").agg(F.sum("quota").alias("quota")).collect())
+    sums = np.array([g["quota"] for g in groups], np.int64)
+    dealt = split(sums, even(int(sums.sum()), shards), np.random.Generator(np.random.PCG64(seed)))
+    held = {g["group"]: dealt[:, i].tolist() for i, g in enumerate(groups)}
+    shares = parts.sparkSession.createDataFrame(list(held.items()), "group long, shares array<long>")
+
+    def deal(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank").combine_chunks()
+        quotas, own = table.column("quota").to_numpy(), np.array(table.column("shares")[0].as_py(), np.int64)
+        rng = np.random.Generator(np.random.PCG64([seed, table.column("group")[0].as_py()]))
+        bounds = np.cumsum(split(quotas, own, rng), axis=0)[:-1].T
+        return pa.table({"rank": table.column("rank"), "bounds": pa.array(bounds.tolist(), pa.list_(pa.int64()))})
+
+    found = parts.join(shares, "group").select("group", "rank", "quota", "shares").groupBy("group").applyInArrow(deal, "rank long, bounds array<long>")
+    return parts.drop("quota", "group").join(found, "rank")
 
 
 def _placed(df: DataFrame, cells: int) -> DataFrame:
@@ -90,9 +153,8 @@ def _placed(df: DataFrame, cells: int) -> DataFrame:
     top = F.shiftrightunsigned(F.col(P + "h"), 40)
     df = df.withColumn(P + "cell", F.floor(top * cells / F.lit(1 << 24)).cast("long"))
     local = F.sum(P + "size").over(Window.partitionBy(*group).orderBy(F.shiftrightunsigned(F.col(P + "h"), 1), P + "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(P + "size")
-    sums = df.groupBy(*group).agg(F.sum(P + "size").alias(P + "n"))
-    w = Window.partitionBy(P + "source", P + "large").orderBy(P + "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.select(*[F.col(g).alias(g + "_o") for g in group], (F.sum(P + "n").over(w) - F.col(P + "n")).alias(P + "before"))
+    sums = sharding.offsets(df, group[:2], group[2], F.col(P + "size"))
+    sums = sums.select(*[F.col(g).alias(g + "_o") for g in group], F.col(sharding.P + "before").alias(P + "before"))
     on = F.col(group[0]).eqNullSafe(F.col(group[0] + "_o")) & (F.col(group[1]) == F.col(group[1] + "_o")) & (F.col(group[2]) == F.col(group[2] + "_o"))
     df = df.withColumn(P + "local", local).join(sums, on)
     return df.withColumn(P + "at", F.col(P + "local") + F.col(P + "before")).drop(P + "local", P + "before", P + "cell", *[g + "_o" for g in group])
@@ -123,6 +185,20 @@ def _fitting(docs: list[tuple[int, int]], part: float, small: int) -> tuple[list
     return out, got
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each source: words of its large documents, which of them the part takes, words of the part left to the others, and words in all."""
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            docs = sorted((d[P + "at"], d[P + "size"]) for d in r["docs"] or [])
+            total = sum(n for _, n in docs)
+            spots, got = _fitting(docs, r["part"], r["source_size"] - total) if docs else ([], 0)
+            rest = min(max(r["part"] - got, 0.0), float(r["source_size"] - total))
+            out.append((r["rank"], total, spots, rest, r["passes"] * r["source_size"] + int(round(got + rest))))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["rank", "large", "spots", "rest", "words"])
+
+
 def plan(df: DataFrame, shards: int = 16, seed: int = 29, source: str = "source", keys: tuple[str, ...] = ("doc_id", "text"), words: str | None = None) -> DataFrame:
     """Every document with ``size``, ``source_size``, ``target``, ``taken`` and ``shards``: the shard of each copy.
 
@@ -136,42 +212,34 @@ def plan(df: DataFrame, shards: int = 16, seed: int = 29, source: str = "source"
     df = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source}`").alias(P + "source"), n.alias(P + "size"), F.xxhash64(F.lit(seed), *hashed).alias(P + "h"), F.xxhash64(*hashed, F.lit(~seed)).alias(P + "t"))
     # read several times from here on, so words are counted once and kept
     df = store.written(df)
-    sizes = df.groupBy(F.col(P + "source").alias("source")).agg(F.sum(P + "size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    per = [r.asDict() for r in sizes.collect()]
-    cells = max(1, -(-sum(r["rows"] for r in per) // CELL_ROWS))
-    spark = df.sparkSession
-    schema = T.StructType([T.StructField("source", df.schema[P + "source"].dataType), T.StructField("source_size", T.LongType())])
-    want = {r["source"]: r["target"] for r in targets(spark.createDataFrame([(r["source"], r["source_size"]) for r in per], schema)).collect()} if per else {}
-
-    def with_table(df: DataFrame, rows: list[tuple], columns: list[T.StructField]) -> DataFrame:
-        """Joins a table of one row for each source; Spark broadcasts it if it is small."""
-        small = spark.createDataFrame(rows, T.StructType([T.StructField(P + "key", schema[0].dataType), *columns]))
+    sizes = store.written(df.groupBy(F.col(P + "source").alias("source")).agg(F.sum(P + "size").alias("source_size"), F.count(F.lit(1)).alias("rows")))
+    rows = sizes.agg(F.sum("rows")).first()[0]
+    empty = F.expr("cast(array() as array<int>)")
+    if not rows:
+        return df.select(*[F.col(f"`{c}`") for c in names], F.col(P + "size").alias("size"), F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), empty.alias("shards"))
+    cells = max(1, -(-rows // CELL_ROWS))
+
+    def with_table(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        """Adds columns of a written table of one row for each source; Spark broadcasts it if it is small."""
+        small = table.select(F.col("source").alias(P + "key"), *columns)
         return df.join(small, F.col(P + "source").eqNullSafe(F.col(P + "key"))).drop(P + "key")
 
-    facts = []
-    for r in per:
-        s, t = r["source_size"], want[r["source"]]
-        passes = int(t // s) if s else 0
-        facts.append((r["source"], s, float(t), passes, float(t - passes * s)))
-    df = with_table(df, facts, [T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField(P + "passes", T.IntegerType()), T.StructField(P + "part", T.DoubleType())])
+    size_of, target_of = F.col("source_size"), F.col("target")
+    passes = F.when(size_of > 0, F.floor(target_of / size_of)).otherwise(0).cast("int")
+    facts = store.written(targets(sizes).withColumn(P + "passes", passes).withColumn(P + "part", target_of - F.col(P + "passes") * size_of))
+    df = with_table(df, facts, "source_size", "target", P + "passes", P + "part")
     df = df.withColumn(P + "large", F.col(P + "size") * LARGE > F.col("source_size"))
+    # large documents are few and in an order of their own, which is made without the others
+    large = _placed(df.where(P + "large").select(*[P + c for c in ("source", "size", "h", "t", "large")]), cells)
     df = _placed(df, cells)
     # the large documents' share of the part, by whole documents; the small ones make up for what that misses
-    large = df.where(P + "large").groupBy(P + "source").agg(F.sum(P + "size").alias("all"), F.first(P + "part").alias("part"), F.first("source_size").alias("of"), F.collect_list(F.struct(P + "at", P + "size")).alias("docs"))
-    chosen = {r[0]: (r["all"], *_fitting(sorted(tuple(x) for x in r["docs"]), r["part"], r["of"] - r["all"])) for r in large.collect()}
-    parts = []
-    for name, s, _, passes, part in facts:
-        total, spots, got = chosen.get(name, (0, [], 0))
-        rest = min(max(part - got, 0.0), float(s - total))
-        parts.append((name, int(total), spots, float(rest), passes * s + int(round(got + rest))))
-    rng = np.random.Generator(np.random.PCG64(seed))
-    ordered = sorted(range(len(parts)), key=lambda i: (parts[i][0] is None, str(parts[i][0]).encode()))
-    width = max(1, sum(p[4] for p in parts) // (shards * BLOCKS))
-    quotas = np.array([-(-parts[i][4] // width) for i in ordered], np.int64)
-    dealt = np.cumsum(split(quotas, shards, rng), axis=0) if len(ordered) else np.zeros((shards, 0), np.int64)
-    bounds = {i: [int(x) for x in dealt[:-1, k]] for k, i in enumerate(ordered)}
-    rows = [(*parts[i][:4], width, bounds[i]) for i in range(len(parts))]
-    df = with_table(df, rows, [T.StructField(P + "offset", T.LongType()), T.StructField(P + "spots", T.ArrayType(T.LongType())), T.StructField(P + "rest", T.DoubleType()), T.StructField(P + "width", T.LongType()), T.StructField(P + "bounds", T.ArrayType(T.LongType()))])
+    large = large.groupBy(F.col(P + "source").alias("source")).agg(F.collect_list(F.struct(P + "at", P + "size")).alias("docs"))
+    both = facts.join(large.withColumnRenamed("source", P + "s"), F.col("source").eqNullSafe(F.col(P + "s")), "left").select("rank", "source_size", F.col(P + "passes").alias("passes"), F.col(P + "part").alias("part"), "docs")
+    parts = store.written(both.mapInArrow(store.frugal(_parts), "rank long, large long, spots array<long>, rest double, words long"))
+    width = max(1, parts.agg(F.sum("words")).first()[0] // (shards * BLOCKS))
+    dealt = store.written(facts.select("source", "rank").join(_bounds(parts, shards, seed, width), "rank"))
+    renamed = dealt.select("source", F.col("large").alias(P + "offset"), F.col("spots").alias(P + "spots"), F.col("rest").alias(P + "rest"), F.col("bounds").alias(P + "bounds"))
+    df = with_table(df, renamed, P + "offset", P + "spots", P + "rest", P + "bounds").withColumn(P + "width", F.lit(width))
     first = F.col(P + "at") + F.col(P + "size") / 2 <= F.col(P + "rest")
     extra = (F.col(P + "size") > 0) & F.when(F.col(P + "large"), F.array_contains(P + "spots", F.col(P + "at"))).otherwise(first)
     copies = F.col(P + "passes") + extra.cast("int")
@@ -182,7 +250,7 @@ def plan(df: DataFrame, shards: int = 16, seed: int = 29, source: str = "source"
         block = F.floor((c * F.col("source_size") + place) / F.col(P + "width"))
         return F.size(F.filter(P + "bounds", lambda b: b <= block))
 
-    where = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), shard)).otherwise(F.expr("cast(array() as array<int>)"))
+    where = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), shard)).otherwise(empty)
     return df.select(*[F.col(f"`{c}`") for c in names], F.col(P + "size").alias("size"), "source_size", "target", (F.col(P + "size") * copies).alias("taken"), where.alias("shards"))
 
 

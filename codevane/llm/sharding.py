@@ -41,12 +41,13 @@ def fraction(rank: Column, total: Column) -> Column:
     return div(scaled, all_) * F.lit(1 << 15) + div((scaled % all_) * F.lit(1 << 15), all_)
 
 
-def _offsets(df: DataFrame, group: list[str], cell: str) -> DataFrame:
-    """For each group and cell: rows in earlier cells of the group (before) and in the whole group (total).
+def offsets(df: DataFrame, group: list[str], cell: str, amount: Column | None = None) -> DataFrame:
+    """For each group and cell: the rows, or the sum of ``amount``, in earlier cells of the group (before) and in the whole group (total).
 
-    The input is one row for each cell, never one for each document.
+    Sums are over one row for each cell, never one for each document; groups
+    may be null.
     """
-    counts = df.groupBy(*group, cell).agg(F.count(F.lit(1)).alias(P + "n")).withColumn(P + "span", F.floor(F.col(cell) / SPAN))
+    counts = df.groupBy(*group, cell).agg(F.sum(F.lit(1) if amount is None else amount).alias(P + "n")).withColumn(P + "span", F.floor(F.col(cell) / SPAN))
     names = [F.col(g).alias(P + "s_" + g) for g in group]
     spans = counts.groupBy(*group, P + "span").agg(F.sum(P + "n").alias(P + "all"))
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
@@ -64,11 +65,11 @@ def _offsets(df: DataFrame, group: list[str], cell: str) -> DataFrame:
 def _ranked(df: DataFrame, group: list[str], cell: str, order: list[Column], out: str) -> DataFrame:
     """Adds ``out``, the rank from 0 within the group, and the group's size as ``total``."""
     local = F.row_number().over(Window.partitionBy(*group, cell).orderBy(*order)) - 1
-    offsets = _offsets(df, group, cell).select(*[F.col(g).alias(P + "o_" + g) for g in group], F.col(cell).alias(P + "o_cell"), P + "before", P + "total")
+    earlier = offsets(df, group, cell).select(*[F.col(g).alias(P + "o_" + g) for g in group], F.col(cell).alias(P + "o_cell"), P + "before", P + "total")
     on = F.col(cell) == F.col(P + "o_cell")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(P + "o_" + g))
-    ranked = df.withColumn(P + "local", local).join(offsets, on)
+    ranked = df.withColumn(P + "local", local).join(earlier, on)
     return ranked.withColumn(out, (F.col(P + "local") + F.col(P + "before")).cast("long")).drop(P + "local", P + "before", P + "o_cell", *[P + "o_" + g for g in group])
 
 

@@ -437,9 +437,30 @@ def test_mixed_rows_match_the_plan(docs):
 
 def test_splitting_tree_is_exact():
     q = np.array([7, 0, 100, 33])
-    out = mixing.split(q, 6, np.random.default_rng(1))
-    assert out.shape == (6, 4) and (out.sum(axis=0) == q).all() and (out >= 0).all()
-    assert out.sum(axis=1).max() - out.sum(axis=1).min() <= 2
+    shares = mixing.even(int(q.sum()), 6)
+    out = mixing.split(q, shares, np.random.default_rng(1))
+    assert out.shape == (6, 4) and (out.sum(axis=0) == q).all() and (out >= 0).all() and (out.sum(axis=1) == shares).all()
+    assert shares.max() - shares.min() <= 1
+
+
+@pytest.mark.parametrize("bins", [2, 4096])
+def test_targets_of_many_sources(spark, monkeypatch, bins):
+    """Order, weights and level against the plain rule, and quotas dealt by groups."""
+    monkeypatch.setattr(mixing, "BINS", bins)
+    monkeypatch.setattr(mixing, "GROUP", 7)
+    rnd = random.Random(14)
+    sizes = {f"s{rnd.randrange(10**6)}é{i}": rnd.choice([0, 1, 5, 5, rnd.randrange(1000), rnd.randrange(10**9)]) for i in range(150)} | {None: 77, "": 3}
+    rows = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = level(sizes)
+    names = sorted((s for s in sizes if s is not None), key=str.encode) + [None]
+    assert sorted((r["rank"], r.source) for r in rows if r.source is not None) == list(enumerate(names[:-1])) and len(rows) == 152
+    assert all(r.target == pytest.approx(want[r.source], rel=1e-9) for r in rows)
+    parts = spark.createDataFrame([(r["rank"], r.source_size) for r in rows], "rank long, words long")
+    width = sum(sizes.values()) // 500
+    dealt = mixing._bounds(parts, 5, 3, width).collect()
+    assert len(dealt) == 152
+    each = np.array([np.diff([0, *r.bounds, -(-r.words // width)]) for r in dealt])
+    assert (each >= 0).all() and each.sum(axis=0).max() - each.sum(axis=0).min() <= 1
 
 
 def test_sharding(docs):
