@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codevane.functions.vectors import dot, doubles, total
-from codevane.operators import encode, evaluate, index, metrics, prep, quantize, search, sparse
+from codevane.operators import encode, evaluate, index, metrics, prep, quantize, search, sparse, training
 from codevane.plans.fixtures import CHUNKS, CODES, OUTPUTS, Tables, sql
 from codevane.sources import tables as sources
 
@@ -113,6 +113,83 @@ def q_sample_hash(t: Tables) -> DataFrame:
     return got.select("doc_id", F.md5(F.concat_ws("|", F.lit("42"), F.col("doc_id").cast("string"))).alias("h"))
 
 
+@query("select conv_id, count(*) as n, sum(length(text)) as chars, count(*) filter (where contains(text, chr(10))) as broken from conversations group by conv_id")
+def q_tsv_scan(t: Tables) -> DataFrame:
+    """Texts with tabs, quotes and line ends, written as a tab-separated file and read again."""
+    path = sources.scratch(t.spark)
+    rows = t.read("conversations").select(F.col("conv_id").cast("string"), "text")
+    rows.write.option("sep", "\t").option("escape", '"').option("quoteAll", True).csv(path)
+    back = sources.read_tsv(t.spark, path, 2).groupBy(F.col("c0").cast("long").alias("conv_id"))
+    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("c1")).alias("chars"), F.sum(F.contains("c1", F.lit("\n")).cast("long")).alias("broken"))
+
+
+@query(
+    """with n as (select label as qid, count(*) as pos, sum(vec_id) as pos_sum from embeddings group by label)
+select a.qid, any_value(a.pos) as pos, any_value(a.pos_sum) as pos_sum, cast(sum(b.pos) as bigint) as neg, cast(sum(b.pos_sum) as bigint) as neg_sum from n a join n b on a.qid <> b.qid group by a.qid"""
+)
+def q_jsonl_scan(t: Tables) -> DataFrame:
+    """Lists of positives and negatives, written as JSON lines and read again."""
+    path = sources.scratch(t.spark)
+    lists = t.read("embeddings").groupBy(F.col("label").cast("long").alias("qid")).agg(F.collect_list("vec_id").alias("pos"))
+    other = lists.select(F.col("qid").alias("o"), F.col("pos").alias("ids"))
+    far = lists.join(other, F.col("qid") != F.col("o")).groupBy("qid").agg(F.flatten(F.collect_list("ids")).alias("bm25"))
+    lists.join(far, "qid").select("qid", "pos", F.struct("bm25").alias("neg")).write.json(path)
+    back = sources.read_negatives(t.spark, path)
+
+    def whole(c: str):
+        return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return back.select("qid", F.size("pos").cast("long").alias("pos"), whole("pos").alias("pos_sum"), F.size("neg.bm25").cast("long").alias("neg"), whole("neg.bm25").alias("neg_sum"))
+
+
+@query(
+    sql(
+        """select mode, (select count(*) from documents where mode = 'dev' or doc_id in (select doc_id from text_qrels)) as passages,
+       (select count(*) from benchmark where (item_id % 2 = 0) = (mode = 'dev')) as queries,
+       (select count(*) from text_qrels where (item_id % 2 = 0) = (mode = 'dev')) as qrels
+from (select unnest(['train', 'dev']) as mode)""",
+        "text_qrels",
+    )
+)
+def q_collection(t: Tables) -> DataFrame:
+    """The five files of an experiment, written from the tables, read, and cut by mode."""
+    root, spark = sources.scratch(t.spark), t.spark
+
+    def put(df: DataFrame, name: str) -> None:
+        df.select([F.col(c).cast("string") for c in df.columns]).write.option("sep", "\t").option("escape", '"').option("quoteAll", True).csv(f"{root}/{name}")
+
+    put(t.read("documents").select("doc_id", F.coalesce("text", F.lit(""))), "collection.tsv")
+    for name, dev in (("train", False), ("dev.small", True)):
+        own = (F.col("item_id") % 2 == 0) == F.lit(dev)
+        put(t.read("benchmark").where(own).select("item_id", "text"), f"queries.{name}.tsv")
+        put(t.text_qrels.where(own).select("item_id", F.lit(0).alias("zero"), "doc_id", F.lit(1).alias("one")), f"qrels.{name}.tsv")
+    whole = sources.Collection.read(spark, root)
+    rows = None
+    for mode in ("train", "dev"):
+        c = whole.mode(mode)
+        pool = prep.search_pool(c.passages, whole.qrels, mode)
+        parts = [df.agg(F.count(F.lit(1)).alias(n)) for df, n in ((pool, "passages"), (c.queries, "queries"), (c.qrels, "qrels"))]
+        row = parts[0].crossJoin(parts[1]).crossJoin(parts[2]).select(F.lit(mode).alias("mode"), "passages", "queries", "qrels")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query("select doc_id, n_chars from documents")
+def q_read_through(t: Tables) -> DataFrame:
+    """A table computed and written once; the second reading must not compute it again."""
+    path, calls = sources.scratch(t.spark), []
+
+    def compute() -> DataFrame:
+        calls.append(1)
+        return t.read("documents").select("doc_id", "n_chars")
+
+    sources.read_through(t.spark, path, compute)
+    again = sources.read_through(t.spark, path, compute)
+    if len(calls) != 1:
+        raise ValueError("a written table was computed again")
+    return again
+
+
 # Vectors and codes
 
 
@@ -207,10 +284,30 @@ def q_dead_codes(t: Tables) -> DataFrame:
     return _longs(quantize.ema_sql(t.chunks, _codes(t), t.codebook)).where("d = 0 and size < 1.1").select("code", rounded("size"))
 
 
-@query()
+def _ema_steps(batch: int, steps: int) -> str:
+    """Ordered batches one after the other, for tables of at most ``steps`` of them, in which no code dies."""
+    out = f""", n0 as (select id, chunk_no, i, x, (dense_rank() over (order by id, chunk_no) - 1) // {batch} as b from cd),
+s0 as (select code, i, y, 1.0::double as size, y as total from cb)"""
+    for k in range(steps):
+        out += f""",
+b{k} as (select * from n0 where b = {k}),
+c{k} as (select id, chunk_no, arg_min(code, (dist, code)) as code from (select id, chunk_no, code, sum((x - y) * (x - y)) as dist from b{k} join s{k} using (i) group by all) group by all),
+h{k} as (select code, i, count(*) as n, sum(x) as s from c{k} join b{k} using (id, chunk_no) group by all),
+u{k} as (select code, i, y, size, total, size * 0.99::double + coalesce(n, 0) * 0.01::double as size1, total * 0.99::double + coalesce(s, 0) * 0.01::double as total1 from s{k} left join h{k} using (code, i)),
+w{k} as (select sum(size1) filter (where i = 0) as a, count(*) filter (where i = 0) as m, (select count(*) from b{k}) > 0 as held from u{k}),
+s{k + 1} as materialized (select code, i, if(held, total1 / ((size1 + 1e-5) / (a + m * 1e-5) * a), y) as y, if(held, size1, size) as size, if(held, total1, total) as total from u{k} cross join w{k})"""
+    return out + f"\nselect code, i as d, round(size, 6) as size, round(y, 6) as value from s{steps}"
+
+
+#: Batches of the ordered training that its SQL has.
+EMA_BATCHES = 8
+
+
+@query(sql(_ema_steps(512, EMA_BATCHES), "cd", "cb"))
 def q_ema_train(t: Tables) -> DataFrame:
     q = quantize.Quantizer(CODES, 64 // CHUNKS, initial_size=1.0, reset_dead=True)
-    return quantize.codebook(t.spark, quantize.fit_exact(q, quantize.state(t.codebook), t.chunks, ["id", "chunk_no"]))
+    book = quantize.codebook(t.spark, quantize.fit_exact(q, quantize.state(t.codebook), t.chunks, ["id", "chunk_no"]))
+    return _longs(book.select("code", F.col("cluster_size").alias("size"), F.posexplode("v").alias("d", "value"))).select("code", "d", rounded("size"), rounded("value"))
 
 
 @query(EMA_SQL + "select code, i as d, round(total / ((size + 1e-5) / (a + k * 1e-5) * a), 6) as value from new cross join whole")
@@ -301,6 +398,26 @@ def q_sparse_project(t: Tables) -> DataFrame:
     return _longs(sparse.project_sql(t.vectors, t.weights)).where("weight > 0").select("id", "code", rounded("weight"))
 
 
+@query(
+    sql(
+        """, q as (select id, chunk_no * 8 + i as d, y from codes join cb using (code)), own as (
+  select id, code, least(ln(1 + greatest(sum(y * w), 0)), 10) as weight from q join w using (d) group by all)
+select id, code, round(weight, 6) as weight from own where round(weight, 6) > 0""",
+        "codes",
+        "cb",
+        "w",
+    )
+)
+def q_sparse_encode(t: Tables) -> DataFrame:
+    """The whole model on every vector: chunks replaced by their codes' vectors, then projected."""
+    settings = training.Settings(chunks=CHUNKS, outputs=OUTPUTS)
+    state = quantize.state(t.codebook)
+    model = training.Model(settings, quantize.Quantizer(CODES, 64 // CHUNKS), state, _projection())
+    saved = {n: sources.write_artefact(df, sources.scratch(t.spark)) for n, df in training.tables(t.spark, model).items()}
+    model = training.load(settings, model.quantizer, saved)
+    return _longs(training.encoded(t.vectors, model).select("id", "code", rounded("weight")).where("weight > 0"))
+
+
 def _projected(t: Tables) -> DataFrame:
     """Weights to 9 digits, so that outputs equal but for rounding tie alike everywhere."""
     return sparse.project(t.vectors.select("id", doubles("embedding").alias("embedding")), _projection()).withColumn("weight", F.round("weight", 9))
@@ -406,6 +523,15 @@ def _evaluated(run: DataFrame, t: Tables, *names: str) -> DataFrame:
     return _named(metrics.evaluate(run, t.qrels), *names)
 
 
+SOME = "(select * from vq_run where qid % 100 = 0)"
+
+
+@query(sql(_metrics(["mrr", "ndcg", "recall"], SOME).replace("from qrels group by qid)", f"from qrels where qid in (select qid from {SOME}) group by qid)"), "vq_run", "qrels"))
+def q_metrics_of_run(t: Tables) -> DataFrame:
+    """Means over the queries of a run that has some of the judged ones only."""
+    return _named(metrics.evaluate(_vq_run(t).where("qid % 100 = 0"), t.qrels, universe="run"), "mrr", "ndcg", "recall")
+
+
 def _named(found: DataFrame, *names: str) -> DataFrame:
     return _longs(found.where(F.col("metric").isin(*names))).select("metric", "k", rounded("value"))
 
