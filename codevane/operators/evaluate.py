@@ -14,14 +14,14 @@ def codes_of(cache: EmbeddingCache, codebook: DataFrame, chunks: int, mode: str
     return quantize.assign(quantize.chunk(cache.load(mode, kind), chunks), codebook)
 
 
-def run_of(method: str, passages: DataFrame, queries: DataFrame, k: int = 1000, codebook: DataFrame | None = None, chunks: int = 8, weighting: str = "tf", pad: bool = False) -> DataFrame:
+def run_of(method: str, passages: DataFrame, queries: DataFrame, k: int = 1000, codebook: DataFrame | None = None, chunks: int = 8, weighting: str = "tf", pad: bool = False, own: bool = True) -> DataFrame:
     """(qid, pid, score, rank) of (pid, embedding) and (qid, embedding): ``dense`` by inner products, ``vq`` by codes.
 
     ``weighting`` is that of query codes; ``pad`` fills results up to k with
-    passages of score 0.
+    passages of score 0; ``own`` off leaves a query out of its own results.
     """
     if method == "dense":
-        return search.dense_search(passages, queries, k)
+        return search.dense_search(passages, queries, k, own)
     if method != "vq":
         raise ValueError("method must be dense or vq")
     if codebook is None:
@@ -30,7 +30,7 @@ def run_of(method: str, passages: DataFrame, queries: DataFrame, k: int = 1000,
     for df, key, how in ((passages, "pid", "tf"), (queries, "qid", weighting)):
         codes = quantize.assign(quantize.chunk(df, chunks, key=key), codebook, key)
         sides[key] = index.term_frequency(codes, key, how)
-    return search.sparse_search(sides["qid"], sides["pid"], k, passages if pad else None)
+    return search.sparse_search(sides["qid"], sides["pid"], k, passages if pad else None, own=own)
 
 
 def evaluate(method: str, passages: DataFrame, queries: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (10, 100, 1000), **options) -> DataFrame:

@@ -1,7 +1,7 @@
 """Inputs of the registered queries, as Spark tables and as DuckDB views of the same content.
 
-Vectors whose id is divisible by 50 are the queries, all others the passages;
-equal labels are relevant.  The codebook stands in for a pretrained one: code c
+Vectors whose id is divisible by 50 are the queries and all vectors the
+passages, but for a query itself; equal labels are relevant.  The codebook stands in for a pretrained one: code c
 is chunk c % 8 of vector c.
 """
 
@@ -32,11 +32,11 @@ class Tables:
 
     @property
     def passages(self) -> DataFrame:
-        return self.vectors.where("id % 50 <> 0").select(F.col("id").alias("pid"), "embedding", "label")
+        return self.vectors.select(F.col("id").alias("pid"), "embedding", "label")
 
     @property
     def qrels(self) -> DataFrame:
-        return self.queries.select("qid", "label").join(self.passages.select("pid", "label"), "label").select("qid", "pid")
+        return self.queries.select("qid", "label").join(self.passages.select("pid", "label"), "label").where("qid <> pid").select("qid", "pid")
 
     @property
     def chunks(self) -> DataFrame:
@@ -71,18 +71,21 @@ PARTS = {
     "codes": "select id, chunk_no, arg_min(code, (dist, code)) as code from dist group by all",
     "tf": "select id, code, cast(count(*) as double) as weight from codes group by all",
     "q_tf": "select id as qid, code, weight from tf where id % 50 = 0",
-    "p_tf": "select id as pid, code, weight from tf where id % 50 <> 0",
+    "p_tf": "select id as pid, code, weight from tf",
     "q_ids": "select vec_id as qid, label from embeddings where vec_id % 50 = 0",
-    "p_ids": "select vec_id as pid, label from embeddings where vec_id % 50 <> 0",
-    "qrels": "select qid, pid from q_ids join p_ids using (label)",
-    "vq": "select qid, pid, sum(q.weight * p.weight) as score from q_tf q join p_tf p using (code) group by all",
+    "p_ids": "select vec_id as pid, label from embeddings",
+    "qrels": "select qid, pid from q_ids join p_ids using (label) where qid <> pid",
+    "vq": "select qid, pid, sum(q.weight * p.weight) as score from q_tf q join p_tf p using (code) where qid <> pid group by all",
     "vq_run": "select qid, pid, score, row_number() over (partition by qid order by score desc, pid) as rank from vq qualify rank <= 1000",
-    "dense": "select q.id as qid, p.id as pid, sum(q.x * p.x) as score from x q join x p using (d) where q.id % 50 = 0 and p.id % 50 <> 0 group by all",
+    "dense": "select q.id as qid, p.id as pid, sum(q.x * p.x) as score from x q join x p using (d) where q.id % 50 = 0 and p.id <> q.id group by all",
     "dense_run": "select qid, pid, score, row_number() over (partition by qid order by score desc, pid) as rank from dense qualify rank <= 1000",
     "w": "select d, code, ((31 * d + 17 * code) % 13 - 6) / 10.0::double as w from (select unnest(range(0, 64)) as d) cross join (select unnest(range(0, 128)) as code)",
     "proj": "select id, code, least(ln(1 + greatest(sum(x * w), 0)), 10) as weight from x join w using (d) group by all",
     "proj9": "select id, code, round(weight, 9) as weight from proj",
-    "rep": "select id, code, weight from (select *, row_number() over (partition by id order by round(weight, 9) desc, code) as r from proj) where r <= if(id % 50 = 0, 16, 64) and weight > 1e-5",
+    "rep": "select *, row_number() over (partition by id order by round(weight, 9) desc, code) as r from proj",
+    "q_rep": "select id as qid, code, weight from rep where id % 50 = 0 and r <= 16 and weight > 1e-5",
+    "p_rep": "select id as pid, code, weight from rep where r <= 64 and weight > 1e-5",
+    "drawn": "select qid, pid, if(pos, qid, -(2 * qid + n)) as j from (select *, row_number() over (partition by qid, pos order by h, pid) as n from (select q.vec_id as qid, p.vec_id as pid, q.label = p.label as pos, md5('42|' || q.vec_id || '|' || p.vec_id) as h from embeddings q join embeddings p on q.vec_id % 50 = 0 and p.vec_id <> q.vec_id)) where n <= if(pos, 1, 2)",
     "terms": "select doc_id as pid, term, cast(count(*) as double) as weight from (select doc_id, unnest(string_split(text, ' ')) as term from documents) where term <> '' group by all",
     "q_terms": "select item_id as qid, term, cast(count(*) as double) as weight from (select item_id, unnest(string_split(text, ' ')) as term from benchmark) where term <> '' group by all",
     "text_qrels": "select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)",
@@ -92,7 +95,7 @@ PARTS = {
 USES = {
     "cd": ["x"], "cb": ["cd"], "dist": ["cd", "cb"], "codes": ["dist"], "tf": ["codes"], "q_tf": ["tf"], "p_tf": ["tf"],
     "qrels": ["q_ids", "p_ids"], "vq": ["q_tf", "p_tf"], "vq_run": ["vq"], "dense": ["x"], "dense_run": ["dense"],
-    "proj": ["x", "w"], "proj9": ["proj"], "rep": ["proj"],
+    "proj": ["x", "w"], "proj9": ["proj"], "rep": ["proj"], "q_rep": ["rep"], "p_rep": ["rep"],
 }
 
 

@@ -84,7 +84,7 @@ def q_missing_refs(t: Tables) -> DataFrame:
     """with c as (
   select q.vec_id as qid, p.vec_id as pid, q.label = p.label as pos,
          md5('42|' || q.vec_id || '|' || p.vec_id) as h
-  from embeddings q join embeddings p on q.vec_id % 50 = 0 and p.vec_id % 50 <> 0
+  from embeddings q join embeddings p on q.vec_id % 50 = 0 and p.vec_id <> q.vec_id
 ), r as (select *, row_number() over (partition by qid, pos order by h, pid) as n from c)
 select qid, 'v' || qid as query,
        max(case when pos and n = 1 then 'v' || pid end) as positive,
@@ -93,15 +93,20 @@ select qid, 'v' || qid as query,
 from r group by qid"""
 )
 def q_triplets(t: Tables) -> DataFrame:
-    near = t.queries.select("qid", "label").join(t.passages.select("pid", "label"), "label").select("qid", "pid", F.lit("pos").alias("role"))
-    # every passage of another label is a candidate; only the first of each query's order are kept by any task
-    far = t.passages.select("pid", "label").join(t.queries.select("qid", F.col("label").alias("own")), F.col("label") != F.col("own")).select("qid", "pid", F.lit("neg").alias("role"))
     named = F.concat(F.lit("v"), F.col("id").cast("string"))
     texts = t.vectors.select("id", named.alias("text"))
-    got = prep.looked_up(prep.drawn_pairs(near.unionByName(far)), texts.withColumnRenamed("id", "qid"), texts.withColumnRenamed("id", "pid"))
+    got = prep.looked_up(_drawn(t), texts.withColumnRenamed("id", "qid"), texts.withColumnRenamed("id", "pid"))
     return got.select("qid", "query", "positive", F.col("negatives")[0].alias("negative_1"), F.col("negatives")[1].alias("negative_2"))
 
 
+def _drawn(t: Tables) -> DataFrame:
+    """(qid, role, place, pid): a passage of each query's label and two of others, but never the query itself."""
+    near = t.queries.select("qid", "label").join(t.passages.select("pid", "label"), "label").where("qid <> pid").select("qid", "pid", F.lit("pos").alias("role"))
+    # every passage of another label is a candidate; only the first of each query's order are kept by any task
+    far = t.passages.select("pid", "label").join(t.queries.select("qid", F.col("label").alias("own")), F.col("label") != F.col("own")).select("qid", "pid", F.lit("neg").alias("role"))
+    return prep.drawn_pairs(near.unionByName(far))
+
+
 @query("select doc_id, case when cast('0x' || substr(md5('42|' || doc_id), 1, 8) as bigint) % 10 < 1 then 'test' else 'train' end as part from documents")
 def q_split_hash(t: Tables) -> DataFrame:
     return prep.split(t.read("documents").select("doc_id"), "doc_id")
@@ -347,7 +352,7 @@ def q_sparsity(t: Tables) -> DataFrame:
 
 def _sides(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Terms of queries (qid) and of passages (pid)."""
-    return terms.where("id % 50 = 0").withColumnRenamed("id", "qid"), terms.where("id % 50 <> 0").withColumnRenamed("id", "pid")
+    return terms.where("id % 50 = 0").withColumnRenamed("id", "qid"), terms.withColumnRenamed("id", "pid")
 
 
 def _vq_run(t: Tables, k: int = 1000, weighting: str = "tf", pad: bool = False) -> DataFrame:
@@ -355,7 +360,7 @@ def _vq_run(t: Tables, k: int = 1000, weighting: str = "tf", pad: bool = False)
     q, p = _sides(index.term_frequency(codes))
     if weighting == "binary":
         q = q.withColumn("weight", F.lit(1.0))
-    return search.sparse_search(q, p, k, t.passages if pad else None)
+    return search.sparse_search(q, p, k, t.passages if pad else None, own=False)
 
 
 RUN = "select qid, pid, score, rank from "
@@ -366,18 +371,18 @@ def q_vq_search(t: Tables) -> DataFrame:
     return _longs(_vq_run(t, 100))
 
 
-@query(sql("select qid, pid, score, row_number() over (partition by qid order by score desc, pid) as rank from (select qid, pid, sum(p.weight) as score from q_tf join p_tf p using (code) group by all) qualify rank <= 100", "q_tf", "p_tf"))
+@query(sql("select qid, pid, score, row_number() over (partition by qid order by score desc, pid) as rank from (select qid, pid, sum(p.weight) as score from q_tf join p_tf p using (code) where qid <> pid group by all) qualify rank <= 100", "q_tf", "p_tf"))
 def q_vq_search_binary(t: Tables) -> DataFrame:
     return _longs(_vq_run(t, 100, "binary"))
 
 
-@query(sql("select qid, pid, coalesce(score, 0.0) as score, row_number() over (partition by qid order by coalesce(score, 0) desc, pid) as rank from (select qid, pid from q_ids cross join p_ids) left join vq using (qid, pid) qualify rank <= 1000", "vq", "q_ids", "p_ids"))
+@query(sql("select qid, pid, coalesce(score, 0.0) as score, row_number() over (partition by qid order by coalesce(score, 0) desc, pid) as rank from (select qid, pid from q_ids cross join p_ids where qid <> pid) left join vq using (qid, pid) qualify rank <= 1000", "vq", "q_ids", "p_ids"))
 def q_vq_search_padded(t: Tables) -> DataFrame:
     return _longs(_vq_run(t, 1000, pad=True))
 
 
 def _dense_run(t: Tables, k: int = 1000) -> DataFrame:
-    return search.dense_search(t.passages, t.queries, k)
+    return search.dense_search(t.passages, t.queries, k, own=False)
 
 
 @query(sql("select qid, pid, round(score, 6) as score, rank from dense_run where rank <= 100", "dense_run"))
@@ -428,22 +433,24 @@ def _rep(t: Tables) -> tuple[DataFrame, DataFrame]:
     return sparse.query_terms(q, 16, "qid"), sparse.sparsify(p, 64, "pid")
 
 
-@query(sql("select id, code, round(round(weight, 9), 6) as weight from rep", "rep"))
+@query(sql("select 'query' as side, qid as id, code, round(round(weight, 9), 6) as weight from q_rep union all select 'passage', pid, code, round(round(weight, 9), 6) from p_rep", "q_rep", "p_rep"))
 def q_sparsify_topk(t: Tables) -> DataFrame:
     q, p = _rep(t)
-    return _longs(q.withColumnRenamed("qid", "id").unionByName(p.withColumnRenamed("pid", "id"))).select("id", "code", rounded("weight"))
+    sides = [df.select(F.lit(side).alias("side"), F.col(key).alias("id"), "code", rounded("weight")) for df, side, key in ((q, "query", "qid"), (p, "passage", "pid"))]
+    return _longs(sides[0].unionByName(sides[1]))
 
 
 @query(
     sql(
         """select qid, pid, round(score, 5) as score, row_number() over (partition by qid order by round(score, 5) desc, pid) as rank from (
-  select q.id as qid, p.id as pid, sum(round(q.weight, 9) * round(p.weight, 9)) as score from rep q join rep p using (code) where q.id % 50 = 0 and p.id % 50 <> 0 group by all
+  select qid, pid, sum(round(q.weight, 9) * round(p.weight, 9)) as score from q_rep q join p_rep p using (code) where qid <> pid group by all
 ) qualify rank <= 100""",
-        "rep",
+        "q_rep",
+        "p_rep",
     )
 )
 def q_sparse_search(t: Tables) -> DataFrame:
-    scores = search.sparse_scores(*_rep(t)).withColumn("score", F.round("score", 5))
+    scores = search.others(search.sparse_scores(*_rep(t))).withColumn("score", F.round("score", 5))
     return _longs(search.ranked(scores, 100))
 
 
@@ -459,30 +466,36 @@ def q_flops_reg(t: Tables) -> DataFrame:
 CONTRAST = """select avg(l + m - own) as c from (
   select i, ln(sum(exp(s - m))) as l, any_value(m) as m, max(case when i = j then s end) as own from (
     select *, max(s) over (partition by i) as m from (
-      select q.id as i, p.id - 1 as j, sum(q.weight * p.weight) / 0.05 as s from proj9 q join proj9 p using (code) where q.id % 50 = 0 and p.id % 50 = 1 group by all)) group by i)"""
+      select q.id as i, j, sum(q.weight * p.weight) / 0.05 as s from proj9 q join proj9 p using (code) join drawn on p.id = drawn.pid where q.id % 50 = 0 group by all)) group by i)"""
 
 
 def _block(t: Tables) -> DataFrame:
-    """Scores of each query with every query's own passage, the next vector: one in-batch block."""
-    terms = _projected(t)
-    q = terms.where("id % 50 = 0").withColumnRenamed("id", "qid")
-    p = terms.where("id % 50 = 1").withColumnRenamed("id", "pid")
-    scores = search.sparse_scores(q, p).select(F.col("qid").alias("i"), (F.col("pid") - 1).alias("j"), "score")
+    """Scores of each query with every query's drawn positive and negatives: one in-batch block.
+
+    A positive has its query's id as j; negatives have numbers below 0.
+    """
+    q, p = _sides(_projected(t))
+    j = F.when(F.col("role") == "pos", F.col("qid")).otherwise(-(2 * F.col("qid") + F.col("place") + 1))
+    # the draw goes over all passages and both joins below read it
+    drawn = sources.write_artefact(_drawn(t).select("pid", j.alias("j")), sources.scratch(t.spark))
+    p = p.join(drawn, "pid").select(F.col("j").alias("pid"), "code", "weight")
+    scores = search.sparse_scores(q, p).select(F.col("qid").alias("i"), F.col("pid").alias("j"), "score")
     # pairs without a common output score 0 and count in the loss
-    block = t.queries.select(F.col("qid").alias("i")).crossJoin(t.vectors.where("id % 50 = 1").select((F.col("id") - 1).alias("j")))
+    block = t.queries.select(F.col("qid").alias("i")).crossJoin(drawn.select("j"))
     return block.join(scores, ["i", "j"], "left").select("i", "j", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-@query(sql("select round(c, 5) as loss from (" + CONTRAST + ")", "proj9"))
+@query(sql("select round(c, 5) as loss from (" + CONTRAST + ")", "proj9", "drawn"))
 def q_contrastive(t: Tables) -> DataFrame:
     return sparse.contrastive(_block(t)).select(rounded("loss", 5))
 
 
 @query(
     sql(
-        "select round(c.c + 0.5 * q.f + 0.5 * p.f + e.e, 4) as total from (" + CONTRAST + ") c, (" + FLOPS.format("vec_id % 50 = 0", "id % 50 = 0") + ") q, (" + FLOPS.format("vec_id % 50 <> 0", "id % 50 <> 0")
+        "select round(c.c + 0.5 * q.f + 0.5 * p.f + e.e, 4) as total from (" + CONTRAST + ") c, (" + FLOPS.format("vec_id % 50 = 0", "id % 50 = 0") + ") q, (" + FLOPS.format("true", "true")
         + ") p, (select avg((x - y) * (x - y)) as e from codes join cd using (id, chunk_no) join cb using (code, i)) e",
         "proj9",
+        "drawn",
         "codes",
         "cb",
     )
@@ -554,8 +567,8 @@ def q_recall(t: Tables) -> DataFrame:
 @query(sql("select 'dense' as method, * from (" + _metrics(["mrr", "ndcg", "recall"], "dense_run") + ") union all select 'vq' as method, * from (" + _metrics(["mrr", "ndcg", "recall"], "vq_run") + ")", "vq_run", "dense_run", "qrels"))
 def q_metrics_dense_vs_vq(t: Tables) -> DataFrame:
     names = ("mrr", "ndcg", "recall")
-    dense = _named(evaluate.evaluate("dense", t.passages, t.queries, t.qrels), *names).select(F.lit("dense").alias("method"), "*")
-    coded = _named(evaluate.evaluate("vq", t.passages, t.queries, t.qrels, codebook=t.codebook, chunks=CHUNKS), *names).select(F.lit("vq").alias("method"), "*")
+    dense = _named(evaluate.evaluate("dense", t.passages, t.queries, t.qrels, own=False), *names).select(F.lit("dense").alias("method"), "*")
+    coded = _named(evaluate.evaluate("vq", t.passages, t.queries, t.qrels, codebook=t.codebook, chunks=CHUNKS, own=False), *names).select(F.lit("vq").alias("method"), "*")
     return dense.unionByName(coded)
 
 

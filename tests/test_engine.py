@@ -387,3 +387,15 @@ def test_streaming(spark, tmp_path):
     assert np.allclose([r.v for r in rows], want.embed)
     online.append_index(stream, quantize.codebook(spark, want), 2, str(tmp_path / "index"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "index")).agg(F.sum("weight")).first()[0] == 18.0
+
+
+def test_queries_among_the_passages(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(12)]
+    p = spark.createDataFrame(rows, "pid long, embedding array<double>")
+    q = p.where("pid in (2, 5)").withColumnRenamed("pid", "qid")
+    got = [(r.qid, r.pid) for r in search.dense_search(p, q, 3, own=False).orderBy("qid", "rank").collect()]
+    assert got == [(2, 5), (2, 8), (2, 11), (5, 2), (5, 8), (5, 11)]
+    terms = spark.createDataFrame([(1, 7, 2.0), (2, 7, 1.0), (3, 8, 1.0)], "pid long, code int, weight double")
+    ask = terms.where("pid <> 2").withColumnRenamed("pid", "qid")
+    found = search.sparse_search(ask, terms, 2, terms.select("pid"), own=False).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.pid, r.score) for r in found] == [(1, 2, 2.0), (1, 3, 0.0), (3, 1, 0.0), (3, 2, 0.0)]
