@@ -436,7 +436,9 @@ def _rep(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query(sql("select 'query' as side, qid as id, code, round(round(weight, 9), 6) as weight from q_rep union all select 'passage', pid, code, round(round(weight, 9), 6) from p_rep", "q_rep", "p_rep"))
 def q_sparsify_topk(t: Tables) -> DataFrame:
     q, p = _rep(t)
-    sides = [df.select(F.lit(side).alias("side"), F.col(key).alias("id"), "code", rounded("weight")) for df, side, key in ((q, "query", "qid"), (p, "passage", "pid"))]
+    # weights of 9 digits can end in a half; scaled numbers are rounded alike everywhere
+    shown = (F.round(F.col("weight") * 1e6) / 1e6).alias("weight")
+    sides = [df.select(F.lit(side).alias("side"), F.col(key).alias("id"), "code", shown) for df, side, key in ((q, "query", "qid"), (p, "passage", "pid"))]
     return _longs(sides[0].unionByName(sides[1]))
 
 
