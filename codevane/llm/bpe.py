@@ -5,7 +5,7 @@ acyclic automaton whose suffixes are shared.  Each arc adds a number; the sum
 along a word is its rank, which selects its ids.  The automaton is one block of
 bytes of bounded size: executors get it once, write it to an unlinked file and
 map it into memory.  Words it lacks are merged exactly, pair by pair in the
-vocabulary's order.
+vocabulary's order; those of a block take each step together.
 
 Text is normalised and split as the vocabulary file says: special tokens
 first, then NFC and lower case, then the pattern's pieces.  A piece never holds
@@ -24,11 +24,11 @@ import heapq
 import json
 import mmap
 import tempfile
-from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cached_property
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ LEXICON_WORDS = 1 << 16
 EVEN = 1024
 #: A longer chunk is never compiled.
 LEXICON_BYTES = 64
-#: Distinct chunks and pieces a worker remembers between batches, and the bytes of its chunks.
+#: Distinct chunks and pieces a worker remembers between batches, and the bytes of each kind.
 MEMORY, MEMORY_BYTES = 1 << 18, 1 << 25
 
 
@@ -61,6 +61,12 @@ def byte_alphabet() -> list[str]:
 #: A merge's value is its rank and its product in one number; its key is the pair of ids.
 WIDTH = 20
 NEVER = 1 << 60
+#: Bytes of the pieces that are merged together: a piece joins others of at most so many; longer ones are merged alone.
+TOGETHER = (4, 8, 12, 16, 24, 32, 63)
+#: There a pair is one number, its rank and under it its place; this is more than any.
+PLACE, NO_PAIR = 6, 1 << 30
+#: Unseen chunks that are split at once, and bytes of pieces, padded, that are merged at once.
+TURN, CELLS = 1 << 16, 1 << 18
 #: After plain letters these are a piece of their own.
 STOPS = (b".", b",", b";", b":", b"!", b"?")
 
@@ -140,6 +146,116 @@ class Vocabulary:
                     heapq.heappush(heap, (x, a))
         return [p for p, g in zip(parts, gone, strict=True) if not g]
 
+    @cached_property
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """Pairs in order, the rank of each, the product of each rank; ids of bytes within and at the end of a piece."""
+        if len(self.merges) >= NO_PAIR >> PLACE:
+            raise ValueError("too many merges")
+        pairs, values = (np.fromiter(x, np.int64, len(self.merges)) for x in (self.merges.keys(), self.merges.values()))
+        order, made = np.argsort(pairs), np.zeros(int((values >> WIDTH).max(initial=-1)) + 1, np.int32)
+        made[values >> WIDTH] = values & ((1 << WIDTH) - 1)
+        # a last pair that none can be, so that every search ends at one
+        pairs, ranks = np.append(pairs[order], NEVER), np.append(values[order] >> WIDTH, 0).astype(np.int32)
+        return pairs, ranks, made, np.array(self.inner, np.int32), np.array(self.last, np.int32)
+
+    def _keys(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, shifted for its place, or NO_PAIR; a negative id has no pair."""
+        pairs, ranks, *_ = self._tables
+        asked = left.astype(np.int64) << WIDTH | right
+        i = np.searchsorted(pairs, asked)
+        return np.where(pairs[i] == asked, ranks[i] << PLACE, np.int32(NO_PAIR))
+
+    @cached_property
+    def _starts(self) -> np.ndarray:
+        """The keys of all pairs of bytes: first those within a piece, then those at its end."""
+        *_, inner, last = self._tables
+        return np.concatenate([self._keys(np.repeat(inner, 256), np.tile(x, 256)) for x in (inner, last)])
+
+    def merge_all(self, pieces: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merge`` for many pieces: the ids one after another, and where each piece's start and the last one's end."""
+        raw = [b"" if isinstance(p, int) else p.encode("utf-8") for p in pieces]
+        n = np.fromiter(map(len, raw), np.int64, len(raw))
+        buf, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(n) - n
+        size, done, low = np.zeros(len(raw), np.int64), [], 0
+        for high in TOGETHER:
+            alike = np.flatnonzero((n > low) & (n <= high))
+            for which in np.split(alike, range(CELLS // high, len(alike), CELLS // high)) if len(alike) else ():
+                ids, size[which] = self._merge_block(buf, at[which], n[which], high)
+                done.append((which, ids))
+            low = high
+        for i in [*np.flatnonzero(n > low).tolist(), *(i for i, p in enumerate(pieces) if isinstance(p, int))]:
+            p = pieces[i]
+            ids = np.array([p] if isinstance(p, int) else self.merge(p), np.int32)
+            size[i] = len(ids)
+            done.append((np.array([i]), ids))
+        first = np.concatenate([[0], np.cumsum(size)])
+        out = np.zeros(int(first[-1]), np.int32)
+        for which, ids in done:
+            out[spans(first[which], size[which])] = ids
+        return out, first
+
+    def _merge_block(self, buf: np.ndarray, at: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces of at most ``width`` bytes, and how many each has: in every round each piece joins one pair.
+
+        A piece is a column, its bytes stand in rows 1 to n.  Rows 0 and n + 1
+        are no parts (-1); a part that went into the one before it is -1 too.
+        """
+        *_, made, inner, last = self._tables
+        m = len(n)
+        row = np.arange(width + 2)[:, None]
+        byte = buf[np.clip(at + row - 1, 0, len(buf) - 1)].astype(np.int32)
+        parts = np.where((row >= 1) & (row < n), inner[byte], np.int32(-1))
+        parts[n, np.arange(m)] = last[byte[n, np.arange(m)]]
+        keys = np.full((width + 2, m), NO_PAIR, np.int32)
+        pair = (byte[1:-1] << 8 | byte[2:]) + (row[1:-1] == n - 1) * np.int32(1 << 16)
+        keys[1:-1] = np.where(row[1:-1] < n, self._starts[pair] | row[1:-1], NO_PAIR)
+        left, right = (np.broadcast_to((row + x).astype(np.int8), parts.shape).copy().ravel() for x in (-1, 1))
+        parts = parts.ravel()
+        live = np.arange(m)
+        while True:
+            best = keys.min(axis=0)
+            on = best < NO_PAIR
+            if not on.all():
+                live, keys, best = live[on], keys.compress(on, axis=1), best[on]
+            if not len(live):
+                break
+            i = (best & ((1 << PLACE) - 1)).astype(np.int64)
+            joined = made[best >> PLACE]
+            here = i * m + live
+            j = right[here].astype(np.int64)
+            gone = j * m + live
+            after, before = right[gone].astype(np.int64), left[here].astype(np.int64)
+            parts[here], parts[gone] = joined, -1
+            right[here], left[after * m + live] = after, i
+            flat, column = keys.reshape(-1), np.arange(len(live))
+            flat[j * len(live) + column] = NO_PAIR
+            flat[i * len(live) + column] = self._keys(joined, parts[after * m + live]) | i
+            flat[before * len(live) + column] = self._keys(parts[before * m + live], joined) | before
+        parts = parts.reshape(-1, m).T
+        kept = parts >= 0
+        return parts[kept], kept.sum(axis=1)
+
+    @cached_property
+    def _lines(self) -> regex.Pattern:
+        return regex.compile(f"{self.pieces.pattern}|\n", regex.V0)
+
+    def split_all(self, chunks: list[bytes]) -> tuple[list[str | int], list[int]]:
+        """As ``split`` for many chunks, in an order of its own that is given too; a line feed ends each chunk.
+
+        Chunks and pieces hold no line feed and nothing composes with one, so
+        chunks are split as the lines of one text.
+        """
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, c in enumerate(chunks):
+            kinds[2 if b"<|" in c else 0 if c.isascii() else 1].append(i)
+        out: list[str | int] = []
+        for normal, which in zip((str.lower, NORMAL.normalize_str), kinds):
+            text = b"".join(chunks[i] + b"\n" for i in which).decode("utf-8", "replace")
+            out.extend(self._lines.findall(normal(text)))
+        for i in kinds[2]:
+            out.extend((*self.split(chunks[i]), "\n"))
+        return out, list(chain.from_iterable(kinds))
+
     def split(self, chunk: bytes) -> list[str | int]:
         """The pieces of a chunk without ASCII white space, in order; a special token is its id."""
         if chunk.isalpha():
@@ -164,6 +280,12 @@ class Vocabulary:
 NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
+def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start to start + n - 1 of each span, one span after another."""
+    ends = np.cumsum(n)
+    return np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Transducer:
     """A minimal acyclic automaton over bytes; the numbers on a word's arcs add up to its rank.
 
@@ -339,51 +461,73 @@ def compile_lexicon(words: list[bytes], vocabulary: Vocabulary) -> bytes:
     return Transducer.build({w: list(chain.from_iterable(map(ids, vocabulary.split(w)))) for w in words})
 
 
-class Encoder:
-    """Encodes batches of texts; made once in each worker.
+class Memory:
+    """Numbers keys as they come; the ids of key i are ``flat[first[i]:first[i + 1]]``."""
 
-    ``known`` numbers the chunks seen lately; the ids of chunk i are
-    ``flat[first[i]:first[i + 1]]``.
-    """
+    def __init__(self):
+        self.number: defaultdict = defaultdict(count().__next__)
+        self.flat, self.first, self.bytes = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def numbers(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+
+    def unlearned(self) -> list:
+        """The keys that have a number and no ids yet, in order."""
+        return list(islice(reversed(self.number), len(self.number) + 1 - len(self.first)))[::-1]
+
+    def learn(self, ids: np.ndarray, first: np.ndarray, size: int) -> None:
+        """Gives the unlearned keys their ids; ``size`` is the bytes of these keys."""
+        self.first = np.concatenate([self.first, len(self.flat) + first[1:]])
+        self.flat = np.concatenate([self.flat, ids])
+        self.bytes += size
+
+    def full(self) -> bool:
+        return len(self.number) > MEMORY or self.bytes > MEMORY_BYTES
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        start = self.first[numbers]
+        return self.flat[spans(start, self.first[numbers + 1] - start)]
+
+
+class Encoder:
+    """Encodes batches of texts; made once in each worker."""
 
     def __init__(self, image: bytes, vocabulary: Vocabulary):
         self.machine, self.vocabulary = mapped(image), vocabulary
-        self.pieces: dict[str, bytes] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.first, self.bytes = array("i"), array("q", [0]), 0
-
-    def _unseen(self, chunk: bytes) -> bytes:
-        """The ids of a chunk the machine lacks, as bytes of an int array."""
-        out = []
-        for p in self.vocabulary.split(chunk):
-            if isinstance(p, int):
-                out.append(array("i", [p]).tobytes())
-                continue
-            ids = self.pieces.get(p)
-            if ids is None:
-                ids = array("i", self.vocabulary.merge(p)).tobytes()
-                if len(self.pieces) >= MEMORY:
-                    self.pieces.clear()
-                if len(p) <= LEXICON_BYTES:
-                    self.pieces[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        self.known, self.pieces = Memory(), self._ends()
+
+    @staticmethod
+    def _ends() -> Memory:
+        """A memory of pieces whose number 0 is the end of a chunk, which has no ids."""
+        out = Memory()
+        out.numbers(["\n"])
+        out.learn(np.zeros(0, np.int32), np.zeros(2, np.int64), 1)
+        return out
+
+    def _unseen(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of chunks the machine lacks, and for each chunk where its ids start and end."""
+        if self.pieces.full():
+            self.pieces = self._ends()
+        pieces, order = self.vocabulary.split_all(chunks)
+        numbers = self.pieces.numbers(pieces)
+        new = self.pieces.unlearned()
+        self.pieces.learn(*self.vocabulary.merge_all(new), sum(len(p) for p in new if isinstance(p, str)))
+        upto = np.cumsum(np.diff(self.pieces.first)[numbers])[numbers == 0]
+        start, end = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        end[order] = upto
+        start[order] = np.concatenate([[0], upto])[:-1]
+        return self.pieces.ids(numbers), start, end
 
     def _learn(self, chunks: list[bytes]) -> None:
-        machine, flat = self.machine, self.flat
+        machine = self.machine
         ranks = machine.ranks([folded(c) for c in chunks])
-        bounds = machine.offsets.tolist()
-        for c, r in zip(chunks, ranks.tolist(), strict=True):
-            self.known[c] = len(self.first) - 1
-            self.bytes += len(c)
-            if r >= 0:
-                flat.frombytes(machine.ids[bounds[r] : bounds[r + 1]].tobytes())
-            else:
-                flat.frombytes(self._unseen(c))
-            self.first.append(len(flat))
+        lacks = ranks < 0
+        ids, start, end = self._unseen([chunks[i] for i in np.flatnonzero(lacks).tolist()])
+        starts, ends = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        starts[lacks], ends[lacks] = start + len(machine.ids), end + len(machine.ids)
+        starts[~lacks], ends[~lacks] = machine.offsets[ranks[~lacks]], machine.offsets[ranks[~lacks] + 1]
+        flat = np.concatenate([machine.ids, ids])[spans(starts, ends - starts)]
+        self.known.learn(flat, np.concatenate([[0], np.cumsum(ends - starts)]), sum(map(len, chunks)))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -391,19 +535,13 @@ class Encoder:
         lo = 0
         while lo < len(off) - 1:
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + 4 * wordhash.BLOCK, "right")) - 1)
-            chunks = [data[a:b].tobytes().split() for a, b in zip(off[lo:hi], off[lo + 1 : hi + 1], strict=True)]
-            if len(self.known) > MEMORY or self.bytes > MEMORY_BYTES:
-                self._forget()
-            self._learn(list(set(chain.from_iterable(chunks)).difference(self.known)))
-            flat, first = np.array(self.flat, np.int32), np.array(self.first, np.int64)
-            get = self.known.__getitem__
-            for c in chunks:
-                i = np.fromiter(map(get, c), np.int64, len(c))
-                start = first[i]
-                w = first[i + 1] - start
-                ends = np.cumsum(w)
-                total = int(ends[-1]) if len(ends) else 0
-                yield flat[np.repeat(start - (ends - w), w) + np.arange(total)]
+            if self.known.full():
+                self.known = Memory()
+            numbers = [self.known.numbers(data[a:b].tobytes().split()) for a, b in zip(off[lo:hi], off[lo + 1 : hi + 1], strict=True)]
+            new = self.known.unlearned()
+            for i in range(0, len(new), TURN):
+                self._learn(new[i : i + TURN])
+            yield from map(self.known.ids, numbers)
             lo = hi
 
 

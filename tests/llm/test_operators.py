@@ -12,11 +12,12 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from codevane.llm import bpe, components, language, licenses, mixing, pii, quality, sharding, similarity, substrings, topk
+from codevane.llm import bpe, components, language, licenses, mixing, pii, quality, sharding, similarity, substrings, topk, wordhash
 
 BREAK = "[^\x20\x09-\x0d]+"
 ODD = [None, "", "   ", "one", "ONE two", "\n\nq\nq", "é€😀 x", "x " * 60, "y\x0bz\x0cz"]
@@ -664,6 +665,32 @@ def test_transducer():
     assert bpe.mapped(bpe.Transducer.build({})).ranks([b"a"]).tolist() == [-1]
 
 
+def test_unseen_words_are_merged_together(monkeypatch):
+    """Words outside the lexicon cost no walk of their own, and get the library's ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, v, rnd = Tokenizer.from_file(path), bpe.Vocabulary.read(path), random.Random(5)
+    ends = ["", "", ",", "...", "'s", "'RE", "$$", "7", "<|endoftext|>", "\u0301", "\x85x"]
+    letters = ["etaoin shrdlu", "abAB", "\u00e9\u00e8\u00fco\u0308TH\u0308", "\u65e5\u672c\u8a9e\u03a3\u0130", "!?#.'"]
+    lines = [" ".join("".join(rnd.choices(rnd.choice(letters), k=rnd.randrange(1, 14))) + rnd.choice(ends) for _ in range(60)) for _ in range(200)]
+    monkeypatch.setattr(bpe, "MEMORY", 3000)
+    encoder, calls, merge = bpe.Encoder(bpe.Transducer.build({}), v), [], bpe.Vocabulary.merge
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda self, piece: calls.append(piece) or merge(self, piece))
+    monkeypatch.setattr(wordhash, "BLOCK", 8192)
+    got = list(encoder.encode(pa.array([*lines, None, "", " \n", *lines[:9]])))
+    assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in [*lines, "", "", "", *lines[:9]]]
+    assert not calls
+
+
+def test_merging_together_is_merging_one_by_one(monkeypatch):
+    v, rnd = bpe.Vocabulary.read(public_tokenizers.path("word_bpe_49k.json")), random.Random(6)
+    pieces = ["".join(rnd.choices(rnd.choice(["ab", "aeinrst", "a", "\u00e9x\u65e5", "\x00#!"]), k=n)) for n in [*range(1, 80), 500] for _ in range(12)]
+    for cells in (bpe.CELLS, 128):
+        monkeypatch.setattr(bpe, "CELLS", cells)
+        ids, first = v.merge_all([*pieces, 49407])
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [*map(v.merge, pieces), [49407]]
+    assert [x.tolist() for x in v.merge_all([])] == [[], [0]]
+
+
 def test_log_ratio_is_of_two_multinomials():
     ratio = np.zeros(quality.BUCKETS, np.int64)
     m = quality.measure(__import__("pyarrow").array(["abc", None]), ratio)
