@@ -421,3 +421,15 @@ def test_sparse_search_makes_no_pairs(spark, monkeypatch, names, signed, dense):
     got = search.sparse_search(q, p, 7, own=False)
     assert sorted(map(tuple, got.collect())) == want
     assert "Join" not in plan(got)
+
+
+def test_padding_joins_no_pairs(spark, monkeypatch):
+    p = some_terms(spark, 12, int)
+    q = p.where("pid in (1, 6)").withColumnRenamed("pid", "qid")
+    ids = spark.range(15).select(F.col("id").alias("pid"))
+    every = search.others(q.select("qid").distinct().crossJoin(ids)).join(search.sparse_scores(q, p), ["qid", "pid"], "left")
+    want = sorted(map(tuple, search.ranked(every.select("qid", "pid", F.coalesce("score", F.lit(0.0)).alias("score")), 13).collect()))
+    monkeypatch.setattr(search, "PART_ROWS", 5)
+    got = search.sparse_search(q, p, 13, ids, own=False)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 26
+    assert "Join" not in plan(got)
