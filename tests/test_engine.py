@@ -433,3 +433,9 @@ def test_padding_joins_no_pairs(spark, monkeypatch):
     got = search.sparse_search(q, p, 13, ids, own=False)
     assert sorted(map(tuple, got.collect())) == want and len(want) == 26
     assert "Join" not in plan(got)
+
+
+def test_registered_search_of_equal_weights_makes_no_pairs(spark):
+    from codevane.plans import registry
+
+    assert "Join" not in plan(registry.QUERIES["q_vq_search_binary"](spark, "/root/testdata/sf0.001"))
