@@ -33,6 +33,12 @@ def run_of(method: str, passages: DataFrame, queries: DataFrame, k: int = 1000,
     return search.sparse_search(sides["qid"], sides["pid"], k, passages if pad else None, own=own)
 
 
-def evaluate(method: str, passages: DataFrame, queries: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (10, 100, 1000), **options) -> DataFrame:
-    """(metric, k, value) of a method over embeddings; further options as in ``run_of``."""
-    return metrics.evaluate(run_of(method, passages, queries, max(ks), **options), qrels, ks)
+def evaluate(method: str, passages: DataFrame, queries: DataFrame, qrels: DataFrame | None, ks: tuple[int, ...] = (10, 100, 1000), **options) -> DataFrame:
+    """(metric, k, value) of a method over embeddings; further options as in ``run_of``.
+
+    Without ``qrels`` the passages with a query's label are its judgements.
+    """
+    run = run_of(method, passages, queries, max(ks), **options)
+    if qrels is not None:
+        return metrics.evaluate(run, qrels, ks)
+    return metrics.means(metrics.per_labelled_query(run, queries, passages, ks, own=options.get("own", True)))

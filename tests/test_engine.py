@@ -448,3 +448,27 @@ def test_scores_are_rounded_before_they_are_ranked(spark, monkeypatch):
     got = search.sparse_search(q, p, 4, digits=5)
     assert [(r.pid, r.score) for r in got.orderBy("rank").collect()] == [(6, 1.1), (5, 1.0), (7, 1.0), (8, 0.0)]
     assert "Join" not in plan(got)
+
+
+@pytest.mark.parametrize("universe", ["qrels", "run"])
+@pytest.mark.parametrize("own", [True, False])
+def test_labels_judge_like_their_pairs(spark, universe, own):
+    labels = [(i, [1, 1, 2, 2, 2, 3, None, 4][i]) for i in range(8)]
+    p = spark.createDataFrame([*labels, (1, 1)], "pid long, label int")
+    q = spark.createDataFrame([r for r in labels if r[0] != 4], "qid long, label int")
+    run = spark.createDataFrame([(i, (i + r) % 9, r) for i in (0, 2, 5, 6, 9) for r in range(1, 6)], "qid long, pid long, rank int")
+    qrels = q.join(p, "label").select("qid", "pid")
+    qrels = qrels if own else search.others(qrels)
+    want = sorted(map(tuple, metrics.per_query(run, qrels, (1, 3), universe).collect()))
+    assert sorted(map(tuple, metrics.per_labelled_query(run, q, p, (1, 3), universe, own).collect())) == want and want
+
+
+@pytest.mark.parametrize("name", ["q_ndcg"])
+def test_registered_metrics_join_no_pairs_of_a_label(spark, monkeypatch, name):
+    from codevane.plans import fixtures, registry
+
+    def pairs(t):
+        raise AssertionError("judged pairs are made")
+
+    monkeypatch.setattr(fixtures.Tables, "qrels", property(pairs))
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
