@@ -463,7 +463,7 @@ def test_labels_judge_like_their_pairs(spark, universe, own):
     assert sorted(map(tuple, metrics.per_labelled_query(run, q, p, (1, 3), universe, own).collect())) == want and want
 
 
-@pytest.mark.parametrize("name", ["q_ndcg", "q_mrr", "q_recall", "q_metrics_of_run"])
+@pytest.mark.parametrize("name", ["q_ndcg", "q_mrr", "q_recall", "q_metrics_of_run", "q_metrics_dense_vs_vq"])
 def test_registered_metrics_join_no_pairs_of_a_label(spark, monkeypatch, name):
     from codevane.plans import fixtures, registry
 
