@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codevane.functions.digests import Tails, leads
 from codevane.functions.vectors import bucket
+from codevane.operators.search import column, over_blocks
 
 
 def judged_passages(passages: DataFrame, qrels: DataFrame, strict: bool = False) -> DataFrame:
@@ -76,6 +83,63 @@ def drawn_pairs(pairs: DataFrame, negatives: int = 2, seed: int = 42) -> DataFra
     return places.where((F.col("role") == "neg") & (F.col("place") < negatives) | (F.col("role") == "pos") & (F.col("place") == 0)).select("qid", "role", "place", "pid")
 
 
+#: Above all digests, for what may not be drawn.
+_NEVER = 1 << 32
+
+
+def drawn_by_label(queries: DataFrame, passages: DataFrame, negatives: int = 2, seed: int = 42) -> DataFrame:
+    """As ``drawn_pairs``, from all passages (pid, label): those of a query's (qid, label) are positive, others negative, itself neither.
+
+    Each pair has a digest of its own, so all of them are made, a block of
+    queries and a part of the passages in a task; what leaves it are the least
+    digests of each query and role.  Rows without a label are left out.
+    """
+    kinds = dict(queries.dtypes)["qid"], dict(passages.dtypes)["pid"]
+    named = [df.where("label is not null").select(key, F.col(key).cast("string").alias("name"), "label") for df, key in ((queries, "qid"), (passages, "pid"))]
+
+    def work(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        got = pa.Table.from_batches(parts)
+        wanted = column(block, 2).unique()
+        label, own, pids = pc.index_in(column(got, 2), value_set=wanted), pc.index_in(column(got, 1), value_set=column(block, 1)), column(got, 0)
+        label, own = (np.asarray(x.fill_null(-1)) for x in (label, own))
+        mine, names = pc.index_in(column(block, 2), value_set=wanted).to_numpy(), [x.encode() for x in column(got, 1).to_pylist()]
+        groups, size = [], np.array([len(x) for x in names])
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            # by label, so that a query's positives lie together
+            at = at[np.argsort(label[at], kind="stable")]
+            itself = np.argsort(own[at], kind="stable")
+            groups.append((at, Tails([names[i] for i in at]), label[at], itself, own[at][itself]))
+        query, place, role = [], [], []
+        for i, name in enumerate(column(block, 1).to_pylist()):
+            least: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+            for at, tails, by, itself, who in groups:
+                key = leads(f"{seed}|{name}|".encode(), tails).astype(np.int64)
+                key[itself[slice(*np.searchsorted(who, [i, i + 1]))]] = _NEVER
+                low, high = np.searchsorted(by, [mine[i], mine[i] + 1])
+                for pos, part, first in ((True, key[low:high], low), (False, key[:low], 0), (False, key[high:], high)):
+                    k = 1 if pos else negatives
+                    if len(part) and k:
+                        edge = np.partition(part, k - 1)[k - 1] if len(part) > k else _NEVER
+                        some = np.flatnonzero((part <= edge) & (part < _NEVER))
+                        least[pos].append((part[some], at[first + some]))
+            for pos, found in least.items():
+                if found:
+                    key, where = (np.concatenate(x) for x in zip(*found, strict=True))
+                    k = min(len(key), 1 if pos else negatives)
+                    # equal starts of digests all go on
+                    keep = where[key <= np.sort(key)[k - 1]] if k else where[:0]
+                    query += [i] * len(keep)
+                    place += keep.tolist()
+                    role += ["pos" if pos else "neg"] * len(keep)
+        yield pa.RecordBatch.from_arrays([column(block, 0).take(pa.array(query, pa.int64())), pids.take(pa.array(place, pa.int64())), pa.array(role, pa.string())], names=["qid", "pid", "role"])
+
+    return drawn_pairs(over_blocks(named[1], named[0], 1 + negatives, f"qid {kinds[0]}, pid {kinds[1]}, role string", work, 16), negatives, seed)
+
+
 def looked_up(drawn: DataFrame, queries: DataFrame, passages: DataFrame, strict: bool = True) -> DataFrame:
     """(qid, query, positive, negatives) of rows (qid, role, place, pid)."""
     def found(name: str, mark: str, key: str):

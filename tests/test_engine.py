@@ -472,3 +472,29 @@ def test_registered_metrics_join_no_pairs_of_a_label(spark, monkeypatch, name):
 
     monkeypatch.setattr(fixtures.Tables, "qrels", property(pairs))
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_digests_of_many_texts():
+    import hashlib
+
+    from codevane.functions.digests import Tails, leads
+
+    for start, width in (("42|7|", 3), ("42|1234|", 2), ("s" * 52, 3), ("s" * 53, 3), ("", 4)):
+        texts = [str(10 ** (width - 1) + i).encode() for i in range(30)]
+        want = [hashlib.md5(start.encode() + x).hexdigest()[:8] for x in texts]
+        assert [f"{x:08x}" for x in leads(start.encode(), Tails(texts))] == want
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_drawing_by_label_equals_drawing_from_pairs(spark, monkeypatch, kind):
+    labels = [(i * 7, [1, 2, 3, None, 1, 2][i % 6]) for i in range(70)] + [(500, 9), (501, 1)]
+    p = spark.createDataFrame(labels, "pid long, label int").withColumn("pid", F.col("pid").cast(kind))
+    q = p.where("pid in (0, 14, 21, 70, 500)").withColumnRenamed("pid", "qid")
+    pairs = search.others(q.select("qid", F.col("label").alias("own")).crossJoin(p)).where("own is not null and label is not null")
+    pairs = pairs.select("qid", "pid", F.when(F.col("own") == F.col("label"), "pos").otherwise("neg").alias("role"))
+    want = sorted(map(tuple, prep.drawn_pairs(pairs, 3).collect()))
+    for name, n in (("QUERY_BLOCK", 2), ("PART_ROWS", 20)):
+        monkeypatch.setattr(search, name, n)
+    got = prep.drawn_by_label(q, p, 3)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 15
+    assert "Join" not in plan(got)
