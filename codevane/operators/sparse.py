@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codevane.functions.vectors import activation
 from codevane.operators.index import most
 from codevane.operators.quantize import matrix
+from codevane.operators.search import SEARCH_ROWS, Terms, column, over_blocks
 
 #: Weights at or below this are not indexed.
 LEAST = 1e-5
@@ -94,3 +96,30 @@ def contrastive(scores: DataFrame, temperature: float = 0.05) -> DataFrame:
     top = s.groupBy("i").agg(F.max("s").alias("m"), F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("own"))
     rest = s.join(top, "i").groupBy("i").agg(F.log(F.sum(F.exp(F.col("s") - F.col("m")))).alias("l"), F.first("m").alias("m"), F.first("own").alias("own"))
     return rest.agg(F.avg(F.col("l") + F.col("m") - F.col("own")).alias("loss"))
+
+
+def in_batch(queries: DataFrame, candidates: DataFrame, temperature: float = 0.05) -> DataFrame:
+    """As ``contrastive``, of the scores of all queries (qid, terms) with all candidates (pid, terms), where pid = qid is the query's own.
+
+    Scores are made in blocks and leave a task as one sum for each query.
+    """
+
+    def work(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scorer = column(block, 0), Terms(column(block, 1))
+        most, rest, own = np.full(len(ids), -np.inf), np.zeros(len(ids)), np.full(len(ids), np.nan)
+        for b in batches:
+            for at in range(0, b.num_rows, SEARCH_ROWS):
+                part = b.slice(at, SEARCH_ROWS)
+                s = scorer.products(part.column(1))[0] / temperature
+                top = np.maximum(most, s.max(axis=1))
+                rest, most = rest * np.exp(most - top) + np.exp(s - top[:, None]).sum(axis=1), top
+                place = pc.index_in(ids, value_set=part.column(0))
+                mine = np.flatnonzero(np.asarray(place.is_valid()))
+                own[mine] = s[mine, place.drop_null().to_numpy()]
+        if np.isfinite(most).any():
+            yield pa.RecordBatch.from_arrays([ids, pa.array(most), pa.array(rest), pa.array(own, from_pandas=True)], names=["i", "m", "l", "own"])
+
+    parts = over_blocks(candidates.select("pid", "terms"), queries.select("qid", "terms"), 1, f"i {dict(queries.dtypes)['qid']}, m double, l double, own double", work)
+    both = parts.groupBy("i").agg(F.max("m").alias("m"), F.collect_list(F.struct("m", "l")).alias("x"), F.max("own").alias("own"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x["l"] * F.exp(x["m"] - F.col("m")))
+    return both.agg(F.avg(F.log(total) + F.col("m") - F.col("own")).alias("loss"))

@@ -498,3 +498,18 @@ def test_drawing_by_label_equals_drawing_from_pairs(spark, monkeypatch, kind):
     got = prep.drawn_by_label(q, p, 3)
     assert sorted(map(tuple, got.collect())) == want and len(want) == 15
     assert "Join" not in plan(got)
+
+
+def test_in_batch_loss_equals_that_of_pairs(spark, monkeypatch):
+    q = some_terms(spark, 9, int).where("pid <> 4").withColumnRenamed("pid", "qid")
+    p = some_terms(spark, 14, int, seed=9)
+    s = {(r.qid, r.pid): r.score for r in search.sparse_scores(q, p).collect()}
+    scores = spark.createDataFrame([(i, j, s.get((i, j), 0.0)) for i in range(9) for j in [*range(1, 14), 99]], "i long, j long, score double")
+    want = sparse.contrastive(scores).first().loss
+    for name, n in (("QUERY_BLOCK", 2), ("PART_ROWS", 5), ("SEARCH_ROWS", 3)):
+        monkeypatch.setattr(search, name, n)
+    none = spark.createDataFrame([(4, [])], "qid long, terms array<struct<code:int,weight:double>>")
+    some = search.packed(p.where("pid > 0"), "pid").unionByName(none.select(F.lit(99).cast("long").alias("pid"), "terms"))
+    got = sparse.in_batch(search.packed(q, "qid").unionByName(none), some)
+    assert abs(got.first().loss - want) < 1e-9
+    assert "Join" not in plan(got)
