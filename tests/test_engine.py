@@ -513,3 +513,18 @@ def test_in_batch_loss_equals_that_of_pairs(spark, monkeypatch):
     got = sparse.in_batch(search.packed(q, "qid").unionByName(none), some)
     assert abs(got.first().loss - want) < 1e-9
     assert "Join" not in plan(got)
+
+
+def some_texts(spark):
+    texts = [(1, "a b  b c"), (2, "c\tc c "), (3, None), (4, " "), (5, "a x"), (1, "b d"), (6, "x y"), (None, "a"), (None, "b b"), (7, "b a a a b")]
+    return spark.createDataFrame(texts, "pid long, text string"), spark.createDataFrame([(0, "a", 2.0), (0, "c", 1.0), (1, "b", 1.0), (2, "z", 1.0)], "qid long, code string, weight double")
+
+
+@pytest.mark.parametrize("sent", [2, 1 << 20])
+def test_bags_put_rows_of_a_text_together(spark, monkeypatch, sent):
+    texts, words = some_texts(spark)
+    monkeypatch.setattr(index, "SENT_WORDS", sent)
+    found = index.bags(texts, "pid", words)
+    got = {r.pid: (r.length, {t.code: t.weight for t in r.terms if t.code in "abcz"}) for r in found.collect()}
+    assert got == {1: (6.0, {"a": 1, "b": 3, "c": 1}), 2: (2.0, {"c": 1}), 5: (2.0, {"a": 1}), 6: (2.0, {}), None: (3.0, {"a": 1, "b": 2}), 7: (5.0, {"a": 3, "b": 2})}
+    assert "Join" not in plan(search.packed_search(search.packed(words, "qid"), index.bags(texts.where("pid in (2, 5)"), "pid", words).withColumn("free", F.lit(False))))
