@@ -539,3 +539,15 @@ def test_bm25_of_bags_equals_bm25_of_terms(spark):
     q = words.join(idf, "code").select("qid", "code", (F.col("weight") * F.col("idf")).alias("weight"))
     got = search.packed_search(search.packed(q, "qid"), found.withColumn("free", F.lit(False)), 3, digits=6).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 5
+
+
+@pytest.mark.parametrize("name", ["q_contrastive", "q_total_loss"])
+def test_registered_losses_make_no_pairs(spark, monkeypatch, name):
+    from codevane.plans import registry
+
+    def pairs(*args):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(search, "sparse_scores", pairs)
+    monkeypatch.setattr(sparse, "contrastive", pairs)
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 1
